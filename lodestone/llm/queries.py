@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, mixing, quality, sharding, token_files
+from lodestone.llm import bpe, embeddings, lines, mixing, quality, sharding, simhash, substring, token_files, urls
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedupe(docs, 20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.read_token_files(token_files.write_token_files(docs, tokenizer("word_bpe_49k.json"), end_id=1, vocab=49_408))
@@ -29,12 +34,30 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedupe(docs).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: Which pages the URL filter blocks and allows by rule.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(docs, path), path)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, 4).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, (3, 1, 2), 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +68,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_files, op3_sharding, op6_bpe, op8_mixing, op9_quality)}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_substring, op2_token_files, op3_sharding, op4_lines, op5_urls, op6_bpe, op7_simhash, op8_mixing, op9_quality, op10_embeddings)
+}
 
-ORACLES: dict[str, str] = {"op9_quality": quality.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_substring": substring.ORACLE_SQL, "op9_quality": quality.ORACLE_SQL, "op10_embeddings": embeddings.ORACLE_SQL}
