@@ -10,9 +10,11 @@ key; the stored key of that row decides.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,37 +129,75 @@ class ShardIndex:
         return int(self.starts[row]), int(self.starts[row + 1])
 
 
-class WordEncoder:
-    """Ids of whole texts for a tokenizer whose words never span a space: each distinct word is encoded once.
+#: Words of these letters alone are one pre-token, and no normaliser changes them but for their case.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
 
-    ``table`` keeps the words met so far, as bytes of little-endian ids, and is emptied at ``limit`` entries.
+class Words(dict):
+    """Ids of words, as bytes of little-endian ids; a word that isn't there yet is encoded, and all go at ``limit`` entries.
+
+    ``before`` stands before every word (a space, for vocabularies with spaces at the words' start). Plain words go to the
+    tokenizer's model at once, other ones through all of the tokenizer.
     """
 
-    def __init__(self, path: str, id_bytes: int, limit: int = 500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, tok, kind: np.dtype, before: str, lower: bool, limit: int):
+        super().__init__()
+        self.tok, self.model, self.kind, self.before, self.lower, self.limit = tok, tok.model, kind, before, lower, limit
+        self.shown = byte_characters()
+        self.marks = {c: self.ids(tok.encode(c, add_special_tokens=False).ids) for c in ".,"}
+
+    def ids(self, x: list[int]) -> bytes:
+        return np.array(x, self.kind).tobytes()
+
+    def plain(self, word: str) -> bytes:
+        text = self.before + (word.lower() if self.lower else word)
+        return self.ids([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))])
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        if PLAIN.match(word):
+            out = self.plain(word)
+        elif word[-1:] in self.marks and PLAIN.match(word[:-1]):
+            out = self[word[:-1]] + self.marks[word[-1]]
+        else:
+            out = self.ids(self.tok.encode(self.before + word, add_special_tokens=False).ids)
+        self[word] = out
+        return out
+
+
+def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
+    tok = Tokenizer.from_file(path)
+    tok.no_padding()
+    tok.no_truncation()
+    return tok
+
+
+class WordEncoder:
+    """Ids of whole texts for a tokenizer that drops white space and lower-cases: each distinct word is encoded once."""
+
+    def __init__(self, path: str, id_bytes: int, limit: int = 800_000):
         self.kind = np.dtype("<u2" if id_bytes == 2 else "<u4")
-        self.limit = limit
-        self.table: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        table = self.table
-        parts = [t.split(" ") if t else [] for t in texts]
-        new = list({w for p in parts for w in p if w not in table})
-        if len(table) + len(new) > self.limit:
-            table.clear()
-            table[""] = b""
-            new = list({w for p in parts for w in p if w})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False)):
-                table[w] = np.array(e.ids, self.kind).tobytes()
-        get = table.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.words = Words(load(path), self.kind, "", True, limit)
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+
+
+@lru_cache(maxsize=4)
+def word_encoder(path: str, id_bytes: int) -> WordEncoder:
+    """One for each worker process, which serves many tasks."""
+    return WordEncoder(path, id_bytes)
 
 
 def put(where: str, data) -> None:
@@ -194,7 +234,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        enc = WordEncoder(tokenizer_path, id_bytes)
+        enc = word_encoder(tokenizer_path, id_bytes)
         end = np.array([end_id], enc.kind).tobytes()
         keys, lens, n_null = [], [], 0
 
@@ -204,7 +244,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab:
                 got = batch.column(0)
                 n_null += got.null_count
                 keys.append(got.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-                for x in enc.encode(batch.column(1).to_pylist()):
+                for x in map(enc.encode, batch.column(1).to_pylist()):
                     lens.append(len(x) // id_bytes + 1)
                     yield x + end
 
