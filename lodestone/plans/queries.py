@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as K
 from lodestone.functions import query as Q
 from lodestone.functions import scores, text
-from lodestone.operators import evidence, logs, search
+from lodestone.operators import answers, evidence, logs, memory, repos, search
 from lodestone.sources.tables import scan
 
 #: A tier for each source or host, dealt in turn, so that every branch has rows.
@@ -138,9 +138,43 @@ def pages_deduped(spark: SparkSession, d: str) -> DataFrame:
     return evidence.dedupe_pages(p).select("pos", "status")
 
 
+def verified(spark: SparkSession, d: str) -> DataFrame:
+    e = evidence.extract_evidence(as_pages(spark, d))
+    return e.withColumn("status", scores.verify_claim(F.col("claim"), F.col("quote"), F.col("url"), F.col("tier"), F.col("confidence")))
+
+
+def source_memories(spark: SparkSession, d: str) -> DataFrame:
+    m = memory.source_quality_memories(verified(spark, d))
+    return m.select("pack_id", "url", "claim_count", "supported_count", F.round("confidence", 4).alias("confidence"))
+
+
+def citations_of_sources(spark: SparkSession, d: str) -> DataFrame:
+    c = answers.citations(verified(spark, d).where("status != 'unsupported'"))
+    return c.select("pack_id", F.col("id").cast("long").alias("id"), "url", "tier", "used_claims")
+
+
+def answer_confidences(spark: SparkSession, d: str) -> DataFrame:
+    return answers.answer_confidence(verified(spark, d))
+
+
+def memory_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Pages scored by memories of every tenth page: quality or failure by turn."""
+    p = scan(spark, d, "pages")
+    m = p.where("page_id % 10 = 0").selectExpr("page_id AS id", "if(page_id % 20 = 0, 'source_quality', 'source_failure') AS kind", "0.5 + (page_id % 7) / 20 AS confidence", "array(url) AS source_urls")
+    out = memory.memory_deltas(p.selectExpr("page_id AS pos", "url"), m)
+    return out.select(F.col("pos").alias("page_id"), F.col("delta").cast("long").alias("delta"), F.size("matched").cast("long").alias("memories"))
+
+
+def repo_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages' paths as files of their host's repository."""
+    f = scan(spark, d, "pages").select("page_id", text.hostname(F.col("url")).alias("repo"), F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1).alias("p"))
+    f = f.select("repo", F.concat(F.expr("array('docs/', 'apps/api/', '', 'packages/')[pmod(page_id, 4)]"), "p", F.expr("array('/index.ts', '.md', '.py', '.txt', '/package.json')[pmod(page_id, 5)]")).alias("path"))
+    return repos.select_repo_files(f, 5).select("repo", "path", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (evidence_by_source, claims_extracted, claims_scored, chunked, page_quality_scores, quality_by_label, canonical_urls, content_hashes, html_titles, links_of_pages, query_features, context_windows, conversation_counts, job_states, vector_search, keyword_hits, diverse_pages, ranked_sources, pages_deduped)
+    for f in (evidence_by_source, claims_extracted, claims_scored, chunked, page_quality_scores, quality_by_label, canonical_urls, content_hashes, html_titles, links_of_pages, query_features, context_windows, conversation_counts, job_states, vector_search, keyword_hits, diverse_pages, ranked_sources, pages_deduped, source_memories, citations_of_sources, answer_confidences, memory_effects, repo_files)
 }
 
 WS = r"\s"
@@ -194,7 +228,26 @@ _ENT = r"\b[A-Z][A-Za-z0-9.+#-]*(?:\s+[A-Z][A-Za-z0-9.+#-]*){0,4}"
 _QUERY_TEXT = r"substring(text, 1, 60) || ' ' || ['compare', 'latest pricing', 'oauth error fix', 'how to install sdk', 'version 2025', ''][conv_id % 6 + 1]"
 _USE = f"CASE WHEN regexp_matches(q, '{rx(K.COMPARISON)}') THEN 'comparison' WHEN regexp_matches(q, '{rx(K.API_FACTS)}') THEN 'api_facts' WHEN regexp_matches(q, '{rx(K.IMPLEMENTATION)}') THEN 'implementation_help' WHEN regexp_matches(q, '{rx(K.TUTORIAL)}') THEN 'tutorial' ELSE 'general_research' END"
 
+_STATUS = "CASE WHEN confidence >= 0.75 OR (tier IN ('official_docs', 'trusted_docs') AND confidence >= 0.7) THEN 'supported' WHEN confidence >= 0.55 THEN 'weak' ELSE 'unsupported' END"
+_TRUST = "CASE tier " + " ".join(f"WHEN '{t}' THEN {c}" for t, c in K.TIER_MEMORY_CONFIDENCE.items()) + " END"
+
 ORACLES: dict[str, str] = {
+    "source_memories": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, url, count(*) AS claim_count, count(*) FILTER (status = 'supported') AS supported_count, round(least(0.95, max({_TRUST})::DOUBLE + least(count(*) FILTER (status = 'supported'), 5) * 0.01::DOUBLE), 4) AS confidence FROM s GROUP BY pack_id, url",
+    "citations_of_sources": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, row_number() OVER (PARTITION BY pack_id ORDER BY min(pos)) AS id, url, tier, count(*) AS used_claims FROM s WHERE status <> 'unsupported' GROUP BY pack_id, url, tier",
+    "answer_confidences": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, least(0.98, round(coalesce(avg(confidence) FILTER (status = 'supported'), avg(confidence)) * 0.8 + count(*) FILTER (status = 'supported') / count(*) * 0.2, 2)) AS confidence FROM s GROUP BY pack_id",
+    "memory_effects": r"""
+WITH p AS (SELECT page_id, lower(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '')) AS host FROM pages),
+m AS (SELECT page_id AS id, host, page_id % 20 = 0 AS good, least(1.0, greatest(0.1, 0.5 + (page_id % 7) / 20)) AS c FROM p WHERE page_id % 10 = 0)
+SELECT p.page_id, sum(CASE WHEN good THEN floor(18 * c + 0.5) ELSE -floor(30 * c + 0.5) END)::BIGINT AS delta, count(*) AS memories
+FROM p JOIN m ON p.host = m.host OR ends_with(p.host, '.' || m.host) OR ends_with(m.host, '.' || p.host) GROUP BY p.page_id
+""",
+    "repo_files": r"""
+WITH f AS (SELECT lower(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '')) AS repo, ['docs/', 'apps/api/', '', 'packages/'][page_id % 4 + 1] || regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1) || ['/index.ts', '.md', '.py', '.txt', '/package.json'][page_id % 5 + 1] AS path FROM pages),
+r AS (SELECT *, lower(path) AS x FROM f),
+k AS (SELECT *, CASE WHEN x = 'readme.md' THEN 1000 WHEN x = 'package.json' THEN 950 WHEN ends_with(x, '/package.json') THEN 880 WHEN ends_with(x, 'dockerfile') THEN 820 WHEN starts_with(x, 'docs/') THEN 760
+  WHEN regexp_matches(x, '^(apps|packages)/') AND regexp_matches(x, '(main|server|router|service|schema|client|index)\.(ts|tsx|js|py)$') THEN 720 WHEN regexp_matches(x, '\.(ts|tsx|js|py|md|prisma|yml|yaml|json)$') THEN 200 ELSE 0 END AS rank FROM r)
+SELECT repo, path, rank::BIGINT AS rank, place FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank DESC, path) AS place FROM k WHERE rank > 0) WHERE place <= 5
+""",
     "claims_extracted": _CLAIMS
     + rf"""SELECT pack_id, url, no::BIGINT AS no, sha256(c) AS claim_sha, round(confidence, 4) AS confidence, least(10, len(list_distinct(list_filter(list_transform(regexp_extract_all(c, '{_ENT}'), lambda x: {TRIM.format('x')}), lambda x: x <> ''))))::BIGINT AS n_entities FROM claims""",
     "claims_scored": _CLAIMS

@@ -117,3 +117,31 @@ def test_no_python_in_plans(spark):
     for name, q in plans.QUERIES.items():
         plan = q(spark, sf)._jdf.queryExecution().toString()
         assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan, name
+
+
+def test_memory_and_answers(spark):
+    from lodestone.operators import answers, memory, repos
+
+    claims = spark.createDataFrame(
+        [("p", "u1", "T1", "community", "supported", 1, 0.9, "a  claim"), ("p", "u1", "T2", "official_docs", "supported", 2, 0.8, "b"), ("p", "u2", "T3", "media", "weak", 3, 0.5, "c"), ("p", "u1", "T1", "community", "unsupported", 4, 0.1, "d")],
+        "pack_id string, url string, title string, tier string, status string, claim_pos int, confidence double, claim string",
+    )
+    m = {r.url: r for r in memory.source_quality_memories(claims).collect()}
+    assert m["u1"].title == "T2" and m["u1"].claim_count == 3 and abs(m["u1"].confidence - 0.92) < 1e-9 and abs(m["u2"].confidence - 0.65) < 1e-9
+    assert [(r.id, r.url, r.used_claims) for r in answers.citations(claims.where("status != 'unsupported'")).orderBy("id").collect()] == [(1, "u1", 2), (2, "u2", 1)]
+    assert answers.answer_confidence(claims.where("status != 'unsupported'")).first().confidence == round(0.85 * 0.8 + 2 / 3 * 0.2, 2)
+    full = claims.withColumn("section", F.lit("Page")).withColumn("entities", F.array(F.lit("Example")))
+    best = answers.answer_evidence(spark.createDataFrame([("p", "claim example")], "pack_id string, query string"), full, 2).orderBy("place").collect()
+    assert [r.claim for r in best] == ["b", "a  claim"]
+    dump = spark.createDataFrame([("1 2 3\n44 55\n99",), ("plain words\nof text\nhere",), ("1",)], "t string").select(answers.numeric_dump(F.col("t")).alias("x")).collect()
+    assert [r.x for r in dump] == [True, False, False]
+    c = spark.createDataFrame([(1, "https://docs.example.com/a"), (2, "https://example.com/b/"), (3, "https://other.org")], "pos int, url string")
+    mem = spark.createDataFrame([("m1", "source_quality", 1.0, ["https://example.com"], False), ("m2", "source_failure", 0.5, ["https://docs.example.com/a"], True), ("m3", "durable_fact", 1.0, ["https://other.org"], False)], "id string, kind string, confidence double, source_urls array<string>, domain_blocked boolean")
+    assert {r.pos: (r.delta, len(r.matched)) for r in memory.memory_deltas(c, mem).collect()} == {1: (3, 2), 2: (3, 2)}
+    stay, gone = memory.exclude_blocked(c, mem)
+    assert sorted(r.pos for r in stay.collect()) == [2, 3] and [r.pos for r in gone.collect()] == [1]
+    refs = spark.createDataFrame([("https://github.com/a/b.git",), ("a/b",), ("nothing",)], "r string").select(repos.parse_repo_ref(F.col("r")).alias("x")).collect()
+    assert [tuple(r.x) if r.x else None for r in refs] == [("a", "b"), ("a", "b"), None]
+    files = spark.createDataFrame([("r", "README.md", None), ("r", "apps/api/src/server.ts", None), ("r", "package.json", "fastify"), ("r", "x.bin", None)], "repo string, path string, text string")
+    assert [r.path for r in repos.select_repo_files(files).orderBy("place").collect()] == ["README.md", "package.json", "apps/api/src/server.ts"]
+    assert repos.repo_stack(files).first().stack == ["API service", "Fastify"]
