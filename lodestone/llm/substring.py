@@ -158,6 +158,46 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
+def place_bucket(ids: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(ids.view(U64), xs.view(U64), 500) % U64(n)).astype(np.int64)
+
+
+def known_places(c: Chunk, at: np.ndarray, n_buckets: int) -> list[tuple]:
+    """Rows of kind 2 that bring the positions ``at`` of a chunk to their documents' buckets."""
+    ids, xs = np.array([i or 0 for i in c.ids], np.int64), np.array(c.xs, np.int64)
+    of = place_bucket(ids, xs, n_buckets)[c.doc[at]]
+    return [(b, 2, None, None, pack([c.pos[at[part]].astype(np.uint32)], c, c.doc[at[part]]), None) for b, part in by_bucket(of)]
+
+
+def to_documents(ids: np.ndarray, none: np.ndarray, xs: np.ndarray, pos: np.ndarray, n_buckets: int) -> list[tuple]:
+    """Rows of kind 2 that bring positions to their documents' buckets, a row for each bucket."""
+    out = []
+    for b, part in by_bucket(place_bucket(ids, xs, n_buckets)):
+        head = np.array([len(part), len(part)], np.int64)
+        out.append((b, 2, None, None, b"".join(x.tobytes() for x in (head, ids[part], none[part], xs[part], np.arange(len(part), dtype=np.uint32), pos[part].astype(np.uint32))), None))
+    return out
+
+
+def gathered(rows: DataFrame, n_parts: int) -> DataFrame:
+    """Rows of kind 2, packed by bucket, to one row for each document; other rows pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = []
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            blobs += b.column("data").filter(pa.array(kind == 2)).to_pylist()
+            yield b.filter(pa.array(kind != 2))
+        out = []
+        for i, x, places in by_document(*unpack(blobs, [np.uint32])):
+            out.append((0, 2, i, x, places, None))
+            if len(out) == 10_000:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    return rows.repartition(n_parts, "bucket").mapInArrow(run, SCHEMA)
+
+
 def by_document(ids: np.ndarray, none: np.ndarray, xs: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
     """(doc_id, x, positions) for each document."""
     if not len(ids):
@@ -179,7 +219,7 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """The repeated windows of ``docs(doc_id, x, text)``: ``doc_id, x, starts``, word positions as an array of packed parts.
+    """The repeated windows of ``docs(doc_id, x, text)``: ``doc_id, x, starts``, word positions as packed 32-bit numbers.
 
     ``x`` is a hash of the text; it tells apart documents of one doc_id, or of none, and orders them.
     """
@@ -209,49 +249,46 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             known[order[nxt]] = True
             rows = []
             some = at[known]
-            for k, part in by_bucket(c.doc[some]):
-                rows.append((int(c.h[some[part[0]]] >> U64(1)), 2, c.ids[k], c.xs[k], c.pos[some[part]].astype(np.uint32).tobytes(), None))
+            rows += known_places(c, some, n_buckets)
             once = at[head]
             for b, part in by_bucket((c.gram[once] % U64(n_buckets)).astype(np.int64)):
                 sel = once[part]
                 rows.append((b, 0, None, None, pack([c.gram[sel], c.pos[sel].astype(np.uint32)], c, c.doc[sel]), None))
             yield batch(rows)
-        yield batch([(0, 1, None, None, None, counts.ravel().tolist())])
+        yield batch([(k, 1, None, None, None, n.tolist()) for k, n in enumerate(counts)])
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
+        blobs, counts = [], {}
         for b in batches:
             kind = b.column("kind").to_numpy()
-            blobs += [x for x in b.column("data").filter(pa.array(kind == 0)).to_pylist()]
-            yield b.filter(pa.array(kind != 0))
+            blobs += b.column("data").filter(pa.array(kind == 0)).to_pylist()
+            part = b.filter(pa.array(kind == 1))
+            for k, n in zip(part.column("bucket").to_pylist(), part.column("counts").to_pylist()):
+                counts[k] = counts.get(k, 0) + np.array(n, np.int64)
+            yield b.filter(pa.array(kind == 2))
+        yield batch([(k, 1, None, None, None, n.tolist()) for k, n in counts.items()])
         ids, none, xs, g, pos = unpack(blobs, [U64, np.uint32])
         order = np.argsort(g, kind="stable")
         same = np.diff(g[order]) == 0
         twice = order[np.r_[same, False] | np.r_[False, same]] if len(g) else order
-        rows = [(0, 2, i, x, p, None) for i, x, p in by_document(ids[twice], none[twice], xs[twice], pos[twice])]
-        for k in range(0, len(rows), 10_000):
-            yield batch(rows[k : k + 10_000])
+        yield batch(to_documents(ids[twice], none[twice], xs[twice], pos[twice], n_buckets))
 
     # counts and candidate places are written: what follows reads them, whatever executors are lost
-    first = written(docs.mapInArrow(grams, SCHEMA).repartition(n_parts, "bucket").mapInArrow(hot, SCHEMA))
-    total = F.sum("n")
-    table = first.where("kind = 1").select(F.posexplode("counts").alias("bin", "n")).where("n > 0").groupBy("bin").agg(total.alias("n"))
-    of_all = table.where(F.col("bin") >= bins * (len(levels) - 1)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = written(gathered(docs.mapInArrow(grams, SCHEMA).repartition(n_parts, "bucket").mapInArrow(hot, SCHEMA), n_parts))
     heavy = np.zeros((len(levels), bins), bool)
-    # at most n_buckets * 4 bins of each level are heavy
-    for r in table.where((F.col("n") > of_all / (4 * n_buckets)) & (F.col("bin") < bins * (len(levels) - 1))).select("bin").collect():
-        heavy[r.bin // bins, r.bin % bins] = True
+    for r in first.where("kind = 1").select("bucket", "counts").collect():  # a row of `bins` numbers for each level
+        n = np.array(r.counts)
+        heavy[r.bucket] = n > n.sum() / (4 * n_buckets)
 
-    places = first.where("kind = 2").groupBy("doc_id", "x").agg(F.collect_list("data").alias("places"))
-    p = places.select(F.col("doc_id").alias("__d"), F.col("x").alias("__x"), "places")
+    p = first.where("kind = 2").select(F.col("doc_id").alias("__d"), F.col("x").alias("__x"), F.col("data").alias("places"))
     found = docs.join(p, docs.doc_id.eqNullSafe(F.col("__d")) & (docs.x == F.col("__x"))).select("doc_id", "x", "text", "places")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, more in chunks(batches, window):
             first_of = np.searchsorted(c.doc, np.arange(len(c.ids)))
             value = np.full(len(c.h), MAX)
-            for k, (parts,) in enumerate(more):
-                at = np.frombuffer(b"".join(parts), np.uint32).astype(np.int64) + first_of[k]
+            for k, (places,) in enumerate(more):
+                at = np.frombuffer(places, np.uint32).astype(np.int64) + first_of[k]
                 value[at] = c.gram[at]
             may = np.flatnonzero(c.start & (least(value, window - GRAM + 1) == c.low) & (c.low != MAX))
             f1 = c.hash[window][may]
@@ -264,8 +301,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             later = place[order] > place[order][head][group] if len(order) else head
             rows = []
             gone = may[order[later]]
-            for k, part in by_bucket(c.doc[gone]):
-                rows.append((int(c.h[gone[part[0]]] >> U64(1)), 2, c.ids[k], c.xs[k], c.pos[gone[part]].astype(np.uint32).tobytes(), None))
+            rows += known_places(c, gone, n_buckets)
             stay = order[head | ~later]
             w = may[stay]
             prefix = c.hash[window][w].copy()
@@ -295,12 +331,10 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             lead = np.flatnonzero(node)[np.cumsum(node) - 1]
             later = (ids != ids[lead]) | (none != none[lead]) | (xs != xs[lead]) | (pos != pos[lead])
             ids, none, xs, pos = ids[later], none[later], xs[later], pos[later]
-        rows = [(0, 2, i, x, p, None) for i, x, p in by_document(ids, none, xs, pos)]
-        for k in range(0, len(rows), 10_000):
-            yield batch(rows[k : k + 10_000])
+        yield batch(to_documents(ids, none, xs, pos, n_buckets))
 
     later = found.mapInArrow(suffixes, SCHEMA).repartition(n_parts, "bucket").mapInArrow(trees, SCHEMA)
-    return later.groupBy("doc_id", "x").agg(F.collect_list("data").alias("starts"))
+    return gathered(later, n_parts).select("doc_id", "x", F.col("data").alias("starts"))
 
 
 def dedupe(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -323,7 +357,7 @@ def dedupe(docs: DataFrame, window: int = 20) -> DataFrame:
                 n.append(len(words))
                 found = []
                 if starts:
-                    at = np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64)
+                    at = np.unique(np.frombuffer(starts, np.uint32)).astype(np.int64)
                     new = np.r_[True, np.diff(at) > window]
                     ends = np.r_[at[np.flatnonzero(new)[1:] - 1], at[-1]] + window
                     found = list(zip(at[new].tolist(), ends.tolist()))
