@@ -51,7 +51,7 @@ def substrings(bits: int, length: int, tables: int) -> list[int]:
 
 def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits of a substring, tables): buckets hold about 16 chance members, and a pair at the threshold is missed with 1 - recall."""
-    length = max(4, min(24, bits, math.ceil(math.log2(max(n, 2) / 16))))
+    length = min(bits, max(4, min(24, math.ceil(math.log2(max(n, 2) / 16)))))
     together = (1 - math.acos(threshold) / math.pi) ** length
     return length, max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
 
