@@ -57,7 +57,10 @@ def clean(docs: DataFrame, most_lost: float = 0.5, text: str = "text") -> DataFr
     left = F.length(F.translate(F.concat_ws("", "__kept"), SPACE_CHARS, ""))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("word_chars") - left <= F.lit(float(most_lost)) * F.col("word_chars")))
-    return d.drop("__w", "__lines", "__h", "__some", "__sorted", "__at", "__kept")
+    # the results come out of a generator, as a filter on them would else be worked out anew down to the text
+    found = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned"]
+    out = d.select(*docs.columns, F.explode(F.array(F.struct(*found))).alias("__q"))
+    return out.select(*docs.columns, *[F.col("__q")[c].alias(c) for c in found])
 
 
 ORACLE_SQL = r"""
