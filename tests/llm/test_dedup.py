@@ -182,7 +182,7 @@ def test_lines_against_brute_force(spark):
             ls.append("  ".join(w).upper() if r.random() < 0.2 else " ".join(w))
         rows.append((3000 + k, "\n".join(ls), "en", "s", 1))
     df = spark.createDataFrame(rows, data.SCHEMA)
-    key = {(x.doc_id, x.text): x.h for x in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    key = {(x.doc_id, x.text): x.h for x in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
     places = sorted({(i is None, i or 0, key[i, t], p, line) for i, t, *_ in rows if t is not None for p, line in enumerate(t.split("\n"))})
     norm = lambda x: tuple(w.lower() for w in WORD.findall(x))
     first, gone = {}, set()
@@ -217,13 +217,10 @@ def test_lines_against_brute_force(spark):
     assert lines.dedupe(data.docs(spark, extra=True).withColumn("line", F.lit(1)).withColumn("root", F.lit(1))).count() == len(data.rows())
 
 
-def test_majority_of_any_length(spark):
-    r = random.Random(1)
-    sets = [[r.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 3, 8, 254, 255, 256, 1000)]
-    df = spark.createDataFrame([(s,) for s in sets], "h array<long>")
-    n = F.size("h")
-    for row in df.select("h", lines.simhash(F.col("h"), n).alias("a"), lines.majority(F.col("h"), n, 63).alias("b")).collect():
-        want = sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in row.h) > len(row.h))
-        assert row.a == want and row.b == want
-
-
+def test_line_simhash(spark):
+    words = {k: [f"w{k}-{i % 7}" for i in range(n)] for k, n in enumerate((1, 2, 3, 8, 255, 256, 1000))}
+    df = spark.createDataFrame([(k, w) for k, ws in words.items() for w in ws], "k long, word string")
+    hashes = {r.word: r.h for r in df.select("word", F.xxhash64("word").alias("h")).collect()}
+    for row in lines.simhashes(df, ["k"]).collect():
+        h = [hashes[w] for w in words[row.k]]
+        assert row.n == len(h) and row.sim == sum(1 << b for b in range(62) if 2 * sum(x >> b & 1 for x in h) > len(h))
