@@ -19,7 +19,6 @@ Special tokens in a text are taken as the tokenizer takes them; a text is first
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,35 +28,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 16_384
+from lodestone.llm.token_files import Words, byte_characters, load
+
+LEAF = 32_768
 #: Pre-tokens of more characters than this are joined token by token.
 LONG = 512
 CUT = re.compile(r" (?=\S)")
+#: Texts without a match have single spaces and line ends only, each between other characters.
+ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: Characters at either end of a leaf that are held as single pre-tokens.
+EDGE = 256
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut to a few rows, which bounds what Python holds at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 class Codec:
-    """One tokenizer file: pieces to ids and ids to bytes. Pieces met before are looked up in a table of ``limit`` entries."""
+    """One tokenizer file: pieces to ids and ids to bytes. Words met before are looked up in tables of ``limit`` entries."""
 
-    def __init__(self, path: str, limit: int = 500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
-        self.run = Tokenizer.from_file(path)  # one pre-token at a time
-        self.run.no_padding()
-        self.run.no_truncation()
-        self.run.encode_special_tokens = True
+        self.tok, self.run = load(path), load(path)
+        self.run.encode_special_tokens = True  # one pre-token at a time
         self.run.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        kind = np.dtype("<u4")
+        self.first, self.later = Words(self.tok, kind, "", False, limit // 4), Words(self.tok, kind, " ", False, limit)
+        self.newline = self.first["\n"]
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.by_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.limit, self.table = limit, {"": b""}
-        # a byte and the character that stands for it: printable Latin-1 for itself, the rest from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(shown)]
-        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+        byte = {c: b for b, c in byte_characters().items()}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
@@ -69,22 +73,22 @@ class Codec:
             return [(text, None)]
         return [(x, self.special.get(x) if k % 2 else None) for k, x in enumerate(self.by_special.split(text)) if x]
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids as bytes. A pre-token always begins at a space before something else, so texts fall apart there."""
-        table, parts = self.table, []
-        for t in texts:
-            p = CUT.split(t)
-            parts.append(p[:1] + [" " + x for x in p[1:]])
-        new = list({x for p in parts for x in p if x not in table})
-        if len(table) + len(new) > self.limit:
-            table.clear()
-            new = list({x for p in parts for x in p})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for x, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False)):
-                table[x] = np.array(e.ids, "<u4").tobytes()
-        get = table.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+    def text(self, text: str | None) -> bytes:
+        """Ids as bytes. A pre-token always begins at a space before something else, so texts fall apart there.
+
+        A line end between two other characters is a pre-token by itself.
+        """
+        if not text:
+            return b""
+        first, later = self.first.__getitem__, self.later.__getitem__
+        if ODD.search(text):
+            a, *rest = CUT.split(text)
+            return b"".join([first(a), *map(later, rest)])
+        out = []
+        for line in text.split("\n"):
+            a, *rest = line.split(" ")
+            out.append(b"".join([first(a), *map(later, rest)]))
+        return self.newline.join(out)
 
     def ids(self, pre_token: str) -> list[int]:
         return self.run.encode(pre_token, add_special_tokens=False).ids
@@ -93,8 +97,18 @@ class Codec:
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
     def node(self, text: str) -> Node:
-        pre = self.pre_tokens(text)
-        return Node(pre, [self.ids(p) for p in pre])
+        """A leaf: pre-tokens near its ends, and what lies between two safe boundaries as one piece."""
+        a, b = CUT.search(text, EDGE), None
+        if a:
+            for b in CUT.finditer(text, max(a.start() + 1, len(text) - 2 * EDGE)):
+                break
+        if not b:
+            pre = self.pre_tokens(text)
+            return Node(pre, [self.ids(p) for p in pre])
+        a, b = a.start(), b.start()
+        left, right = self.pre_tokens(text[:a]), self.pre_tokens(text[b:])
+        middle = np.frombuffer(self.text(text[a:b]), "<u4").tolist()
+        return Node([*left, text[a:b], *right], [*map(self.ids, left), middle, *map(self.ids, right)])
 
     def decode(self, ids: bytes) -> str:
         get = self.bytes.__getitem__
@@ -184,28 +198,32 @@ def tree(c: Codec, nodes: list[Node]) -> Node:
     return nodes[0]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``ids``, the token ids as little-endian unsigned 32-bit integers; other columns stay.
+def encode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with a column ``ids``, the token ids as little-endian unsigned 32-bit integers; other columns stay (the text if ``keep_text``).
 
-    Null and empty texts have no ids. Every text is encoded whole. Texts over ``leaf`` characters go through the
-    tree: their leaves are dealt to tasks by row number and leaf number, and come together by text. Equal long texts are
-    told apart by a row key that is a function of the whole row's place in its task (repeated rows stay repeated).
+    Null and empty texts have no ids. Every text is encoded whole. Texts over ``leaf`` characters go through the tree,
+    each distinct one once: their leaves are dealt to tasks by a 128-bit key of the text and their number, and come
+    together by that key; rows, repeated ones too, take the ids of their text.
     """
-    fields = [c for c in docs.columns]
+    names = [c for c in docs.columns if keep_text or c != text]
     held = docs.withColumn("__n", F.length(F.coalesce(F.col(text), F.lit(""))))
     short, long = held.where(F.col("__n") <= leaf).drop("__n"), held.where(F.col("__n") > leaf).drop("__n")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
-        for batch in batches:
-            got = c.texts([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, "ids"])
+        for batch in pieces_of(batches):
+            got = [c.text(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            keep = [k for k in range(batch.num_columns) if batch.schema.names[k] in names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(got, pa.binary())], [*(batch.schema.names[k] for k in keep), "ids"])
 
     from pyspark.sql import types as T
 
-    out = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())])
-    done = short.mapInArrow(plain, out)
+    out = T.StructType([*(f for f in docs.schema.fields if f.name in names), T.StructField("ids", T.BinaryType())])
+    return short.mapInArrow(plain, out).unionAll(encode_long(long, tokenizer_path, leaf, text, names))
 
+
+def encode_long(long: DataFrame, tokenizer_path: str, leaf: int, text: str, names: list[str]) -> DataFrame:
+    """The tree over the texts of ``long``: its columns ``names`` and ``ids``."""
     # every long text once, under its 128-bit key; rows take the ids of their text by that key
     key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.reverse(F.col(text))).alias("b"))
 
@@ -252,8 +270,22 @@ def encode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, text: str = "
     pieces = texts.mapInArrow(cut, schema).repartition("a", "b", "leaf").mapInArrow(leaves, schema + ", pre array<int>, n array<int>, leaf_ids binary")
     ids = pieces.groupBy("a", "b").applyInArrow(joined, "a long, b long, ids binary")
     rows = long.withColumn("__k", key)
-    found = rows.join(ids, (F.col("__k.a") == ids.a) & (F.col("__k.b") == ids.b)).select(*[rows[c] for c in fields], ids.ids)
-    return done.unionAll(found)
+    return rows.join(ids, (F.col("__k.a") == ids.a) & (F.col("__k.b") == ids.b)).select(*[rows[c] for c in names], ids.ids)
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digested(c: Codec, doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+        ],
+        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
 
 
 def digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -261,19 +293,24 @@ def digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in pieces_of(batches):
+            yield digested(c, batch.column("doc_id"), batch.column("ids").to_pylist())
+
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, DIGESTS)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> DataFrame:
+    """``digests`` of ``encode`` for ``docs(doc_id, text)``, with both in one pass over the shorter texts."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer_path)
+        for batch in pieces_of(batches):
+            yield digested(c, batch.column("doc_id"), [c.text(t) for t in batch.column("text").to_pylist()])
+
+    long = encode_long(d.where(n > leaf), tokenizer_path, leaf, "text", ["doc_id"])
+    return d.where(n <= leaf).mapInArrow(run, DIGESTS).unionAll(digests(long, tokenizer_path))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

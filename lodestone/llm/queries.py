@@ -49,8 +49,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = tokenizer("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode(docs, path), path)
+    return bpe.encode_and_decode(docs, tokenizer("byte_bpe_50k.json"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,7 @@ def test_bpe_equals_the_library(spark, leaf):
         ids = t.encode(x or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want, key=str)
+    assert sorted((tuple(r) for r in bpe.encode_and_decode(data.docs(spark, extra=True), path, leaf).collect()), key=str) == got
     more = bpe.encode(data.docs(spark, extra=False).selectExpr("*", "1 a", "2 b", "3 special"), path, leaf)
     assert more.count() == len(data.rows()) and bpe.decode(more, path).where("coalesce(text, '') != decoded").count() == 0
     assert bpe.encode(data.empty(spark), path, leaf).count() == 0
@@ -70,4 +71,4 @@ def test_tree_of_halves_is_exact_for_any_text():
             text = "".join(r.choice("abcdeingth") for _ in range(2500)) + text
         node = bpe.tree(c, [c.node(x) for x in bpe.halves(text, r.choice([1, 3, 16, 100]))])
         assert [i for x in node.ids for i in x] == c.tok.encode(text, add_special_tokens=False).ids
-        assert c.decode(c.texts([text])[0]) == text and c.texts([text])[0] == np.array(c.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert c.decode(c.text(text)) == text and c.text(text) == np.array(c.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
