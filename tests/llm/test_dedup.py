@@ -224,3 +224,42 @@ def test_line_simhash(spark):
     for row in lines.simhashes(df, ["k"]).collect():
         h = [hashes[w] for w in words[row.k]]
         assert row.n == len(h) and row.sim == sum(1 << b for b in range(62) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_every_near_line_is_linked(spark):
+    r = random.Random(12)
+    rows = []
+    for size in [*range(1, 28), 40, 75, 120] * 2:
+        base = [f"v{r.randrange(4000)}" for _ in range(size)]
+        rows.append(base)
+        for _ in range(4):  # up to the edits that the similarity allows, and one more
+            w = list(base)
+            for _ in range(r.randrange(1, size // 5 + 2)):
+                k, new = r.randrange(len(w)), f"n{r.randrange(4000)}"
+                w[k : k + 1] = r.choice([[new], [], [w[k], new]]) if len(w) > 1 else [new]
+            rows.append(w)
+    hot = [f"h{k}" for k in range(12)]  # a bucket of many lines: a few near each other, most not
+    rows += [hot[:5] + [f"o{r.randrange(10**6)}" for _ in range(7)] for _ in range(60)]
+    rows += [[*hot[:k], f"c{j}", *hot[k + 1 :]] for k in range(12) for j in range(5)]
+    rows = sorted({tuple(w) for w in rows})
+    df = spark.createDataFrame([(k, len(w), list(w)) for k, w in enumerate(rows)], "line long, size int, w array<string>")
+    got = lines.links(df.select("line", "size", lines.codes(F.col("w")).alias("s")), 0.8).collect()
+    sizes = [len(w) for w in rows]
+    close = lambda a, b: abs(sizes[a] - sizes[b]) <= (m := int(0.2 * max(sizes[a], sizes[b]) + 1e-9)) and edit(rows[a], rows[b]) <= m
+    want = [(a, b) for b in range(len(rows)) for a in range(b) if set(rows[a]) & set(rows[b]) and close(a, b)]
+    assert len(want) > 1000 and all(close(x.u, x.v) for x in got)
+    assert roots(range(len(rows)), [(x.u, x.v) for x in got]) == roots(range(len(rows)), want)
+
+
+def test_near_lines_of_a_table_all_go(spark):
+    r = random.Random(13)
+    rows = []
+    for k in range(40):
+        base = [f"v{r.randrange(4000)}" for _ in range(20)]
+        for j in range(3):
+            w = list(base)
+            for at in r.sample(range(20), 2 * (j > 0)):
+                w[at] = f"n{r.randrange(4000)}"
+            rows.append((10 * k + j, " ".join(w), "en", "s", 1))
+    got = {x.doc_id: x.n_removed for x in lines.dedupe(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    assert got == {k: int(k % 10 > 0) for k in got} and len(got) == 120
