@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import components, iter_runs, run_starts, written
 
 BLOCK = 2048
+#: Tables to choose from, and how many comparisons a row costs that is moved.
+MOST, MOVE = 512, 100
 #: The most vectors (about) on which a rotation is learned.
 SAMPLE = 20_000
 
@@ -41,6 +43,8 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 1) ->
 
 def substrings(bits: int, length: int, tables: int) -> list[int]:
     """Bit masks of the tables: slices of the code, then of shuffled codes."""
+    if not length:
+        return [0]
     out, n = [], 0
     while len(out) < tables:
         order = np.arange(bits) if n == 0 else np.random.default_rng(n).permutation(bits)
@@ -49,11 +53,31 @@ def substrings(bits: int, length: int, tables: int) -> list[int]:
     return out[:tables]
 
 
+def missed(bits: int, length: int, tables: int, threshold: float) -> float:
+    """The share of pairs at the threshold that meet in none of ``substrings``: a sum over the number of bits in which they differ.
+
+    Slices of one order of the bits share no bit, so that none of them is free of k differing bits follows by
+    inclusion and exclusion; the orders are independent of each other given k.
+    """
+    p, each, out = math.acos(threshold) / math.pi, bits // length, 0.0
+    for k in range(bits + 1):
+        none = lambda s: sum((-1) ** j * math.comb(s, j) * math.comb(bits - j * length, k) for j in range(s + 1)) / math.comb(bits, k)  # noqa: E731, B023
+        out += math.comb(bits, k) * p**k * (1 - p) ** (bits - k) * none(each) ** (tables // each) * none(tables % each)
+    return out
+
+
 def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(bits of a substring, tables): buckets hold about 16 chance members, and a pair at the threshold is missed with 1 - recall."""
-    length = min(bits, max(4, min(24, math.ceil(math.log2(max(n, 2) / 16)))))
-    together = (1 - math.acos(threshold) / math.pi) ** length
-    return length, max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+    """(bits of a substring, tables): the cheapest by rows moved and vectors compared of which a pair at the threshold is missed with 1 - recall; (0, 1), one table of all vectors, where none does."""
+    best = (math.inf, 0, 1)
+    for length in range(1, min(bits, 24) + 1):
+        if missed(bits, length, MOST, threshold) > 1 - recall:
+            continue
+        low, high = 1, MOST
+        while low < high:
+            at = (low + high) // 2
+            low, high = (low, at) if missed(bits, length, at, threshold) <= 1 - recall else (at + 1, high)
+        best = min(best, (low * (MOVE + n / 2**length), length, low))
+    return best[1:]
 
 
 def search(batches: Iterator[pa.RecordBatch], masks: list[int], threshold: float) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -263,3 +264,18 @@ def test_near_lines_of_a_table_all_go(spark):
             rows.append((10 * k + j, " ".join(w), "en", "s", 1))
     got = {x.doc_id: x.n_removed for x in lines.dedupe(spark.createDataFrame(rows, data.SCHEMA)).collect()}
     assert got == {k: int(k % 10 > 0) for k in got} and len(got) == 120
+
+
+@pytest.mark.parametrize("n", [50_000, 10**6, 10**7, 10**8])
+def test_embedding_tables_reach_the_recall(n):
+    length, tables = embeddings.plan(n, 64, 0.95, 0.995)
+    masks = np.array(embeddings.substrings(64, length, tables), np.uint64)
+    g = np.random.default_rng(7)
+    x, y = g.normal(size=(2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1)[:, None]  # pairs at the threshold, in any direction
+    code = [np.packbits(v >= 0, axis=1, bitorder="little").view(np.uint64).ravel() for v in (x, y)]
+    met = ((code[0] ^ code[1])[:, None] & masks == 0).any(axis=1)
+    assert met.mean() >= 0.992
+    assert embeddings.plan(n, 2, 0.95, 0.995) == (0, 1) and embeddings.substrings(2, 0, 1) == [0]
