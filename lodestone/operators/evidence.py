@@ -132,21 +132,44 @@ def dedupe_pages(pages: DataFrame, checkpoint=None) -> DataFrame:
     return found.select(*done.columns, status.alias("status")).drop("kept")
 
 
+def near_pairs(good: DataFrame, threshold: float) -> DataFrame:
+    """``u, v``: ids of ``good(pack_id, id, at, w)`` of one pack, u first in order of ``at``, with a Jaccard similarity of words over ``threshold``.
+
+    Such sets share a word among the rarest of each, one more than they may lack (prefix filter), so these words are where they meet.
+    """
+    words = good.select("pack_id", "id", F.explode("w").alias("x"))
+    rare = words.join(words.groupBy("pack_id", "x").agg(F.count("*").alias("n")), ["pack_id", "x"])
+    rare = rare.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
+    first = F.expr(f"slice(r, 1, size(r) - CAST(ceil(size(r) * {threshold}D - 1e-9D) AS INT) + 1)")
+    met = good.join(rare.select("id", F.explode(first).alias("k")), "id").select("pack_id", "id", "at", "w", F.col("k.x").alias("x"))
+    a, b = met.alias("a"), met.alias("b")
+    on = (F.col("a.pack_id") == F.col("b.pack_id")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.at") < F.col("b.at")) & (jaccard(F.col("a.w"), F.col("b.w")) > threshold)
+    return a.join(b, on).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+
+
 def near_dedupe_claims(claims: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``claims`` with ``quality`` and ``outcome``: quality_rejected, duplicate_rejected or kept.
 
     Within a pack, in order of quality (high first) and position: a claim goes if its words' Jaccard similarity with a kept one
-    is over ``threshold``. Packs are small by design (30 claims a page, 50 pages), so a pack's claims are folded in one row.
+    is over ``threshold``. Rounds decide many claims at once: one with a kept earlier neighbour goes, one whose earlier
+    neighbours are all gone stays; the first open claim is decided in any round.
     """
     q = claims.withColumn("quality", scores.claim_quality(F.col("claim"), F.col("tier"), F.col("section"), F.col("entities")))
+    q = checkpointed(q.withColumn("id", F.monotonically_increasing_id()))
     good = (F.col("quality.total") >= 40) & (F.size("entities") > 0)
-    fields = F.struct((-F.col("quality.total")).alias("o"), "claim_pos", F.col("url"), word_set(F.col("claim")).alias("w"))
-    packs = q.where(good).groupBy("pack_id").agg(F.array_sort(F.collect_list(fields)).alias("rows"))
-    one = packs.schema["rows"].dataType.simpleString()
-    kept = F.aggregate("rows", F.array().cast(one), lambda a, x: F.when(F.exists(a, lambda k: jaccard(k.w, x.w) > threshold), a).otherwise(F.concat(a, F.array(x))))
-    stay = packs.select("pack_id", F.explode(kept).alias("k")).select("pack_id", F.col("k.claim_pos").alias("claim_pos"), F.lit(True).alias("stays"))
-    out = q.join(stay, ["pack_id", "claim_pos"], "left")
-    return out.withColumn("outcome", F.when(~good, "quality_rejected").when(F.col("stays"), "kept").otherwise("duplicate_rejected")).drop("stays")
+    order = F.struct((-F.col("quality.total")).alias("o"), "claim_pos", "url", "id")
+    pairs = checkpointed(near_pairs(q.where(good).select("pack_id", "id", order.alias("at"), word_set(F.col("claim")).alias("w")), threshold))
+    heads = pairs.select(F.col("u").alias("id")).distinct().join(pairs.select(F.col("v").alias("id")), "id", "left_anti")
+    done = checkpointed(heads.select("id", F.lit(True).alias("stays")))
+    left = pairs
+    while not left.isEmpty():
+        by = left.join(done.select(F.col("id").alias("u"), "stays"), "u", "left")
+        seen = by.groupBy("v").agg(F.max(F.coalesce("stays", F.lit(False))).alias("gone"), F.max(F.col("stays").isNull()).alias("open"))
+        new = seen.where("gone or not open").select(F.col("v").alias("id"), (~F.col("gone")).alias("stays"))
+        done = checkpointed(done.unionAll(new))
+        left = checkpointed(left.join(done.select(F.col("id").alias("v")), "v", "left_anti"))
+    out = q.join(done, "id", "left")
+    return out.withColumn("outcome", F.when(~good, "quality_rejected").when(F.coalesce("stays", F.lit(True)), "kept").otherwise("duplicate_rejected")).drop("stays", "id")
 
 
 def evidence_coverage(claims: DataFrame) -> DataFrame:

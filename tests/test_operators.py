@@ -145,3 +145,23 @@ def test_memory_and_answers(spark):
     files = spark.createDataFrame([("r", "README.md", None), ("r", "apps/api/src/server.ts", None), ("r", "package.json", "fastify"), ("r", "x.bin", None)], "repo string, path string, text string")
     assert [r.path for r in repos.select_repo_files(files).orderBy("place").collect()] == ["README.md", "package.json", "apps/api/src/server.ts"]
     assert repos.repo_stack(files).first().stack == ["API service", "Fastify"]
+
+
+def test_near_claims_in_order_without_a_row_for_a_pack(spark):
+    r, rows = random.Random(5), []
+    for k in range(240):
+        base = random.Random(k % 24).sample([f"api{j}" for j in range(200)], 20)
+        for j in r.sample(range(20), r.randrange(4)):
+            base[j] = f"new{r.randrange(300)}"
+        rows.append((f"p{k % 2}", f"https://a.b/{k}", "T", "official_docs", (k, 0, 0), "The Example API OAuth 2 SDK Token needs " + " ".join(base), "Authentication", ["Example", "OAuth"]))
+    schema = "pack_id string, url string, title string, tier string, claim_pos struct<pos:long,section_no:int,no:int>, claim string, section string, entities array<string>"
+    out = evidence.near_dedupe_claims(spark.createDataFrame(rows, schema))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got, kept = out.withColumn("w", evidence.word_set(F.col("claim"))).collect(), {}
+    for x in sorted(got, key=lambda x: (-x.quality.total, x.claim_pos)):
+        w, before = set(x.w), kept.setdefault(x.pack_id, [])
+        stays = all(len(w & o) / len(w | o) <= 0.7 for o in before)
+        assert x.outcome == ("kept" if stays else "duplicate_rejected")
+        if stays:
+            before.append(w)
+    assert len(got) == 240 and 24 <= sum(map(len, kept.values())) < 200
