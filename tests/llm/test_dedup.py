@@ -218,15 +218,6 @@ def test_lines_against_brute_force(spark):
     assert lines.dedupe(data.docs(spark, extra=True).withColumn("line", F.lit(1)).withColumn("root", F.lit(1))).count() == len(data.rows())
 
 
-def test_line_simhash(spark):
-    words = {k: [f"w{k}-{i % 7}" for i in range(n)] for k, n in enumerate((1, 2, 3, 8, 255, 256, 1000))}
-    df = spark.createDataFrame([(k, w) for k, ws in words.items() for w in ws], "k long, word string")
-    hashes = {r.word: r.h for r in df.select("word", F.xxhash64("word").alias("h")).collect()}
-    for row in lines.simhashes(df, ["k"]).collect():
-        h = [hashes[w] for w in words[row.k]]
-        assert row.n == len(h) and row.sim == sum(1 << b for b in range(62) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def test_every_near_line_is_linked(spark):
     r = random.Random(12)
     rows = []
