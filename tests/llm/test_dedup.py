@@ -234,8 +234,9 @@ def test_every_near_line_is_linked(spark):
     rows += [hot[:5] + [f"o{r.randrange(10**6)}" for _ in range(7)] for _ in range(60)]
     rows += [[*hot[:k], f"c{j}", *hot[k + 1 :]] for k in range(12) for j in range(5)]
     rows = sorted({tuple(w) for w in rows})
-    df = spark.createDataFrame([(k, len(w), list(w)) for k, w in enumerate(rows)], "line long, size int, w array<string>")
-    got = lines.links(df.select("line", "size", lines.codes(F.col("w")).alias("s")), 0.8).collect()
+    codes = [lines.coded([x.encode() for x in w]) for w in rows]
+    df = spark.createDataFrame([(k, len(w), bytearray(a.tobytes()), bytearray(b.tobytes())) for k, (w, (a, b)) in enumerate(zip(rows, codes))], "line long, size int, a binary, b binary")
+    got = lines.links(df, 0.8).collect()
     sizes = [len(w) for w in rows]
     close = lambda a, b: abs(sizes[a] - sizes[b]) <= (m := int(0.2 * max(sizes[a], sizes[b]) + 1e-9)) and edit(rows[a], rows[b]) <= m
     want = [(a, b) for b in range(len(rows)) for a in range(b) if set(rows[a]) & set(rows[b]) and close(a, b)]
