@@ -3,8 +3,9 @@
 A rotation is learned on a bounded sample so that the signs of the rotated unit vectors are balanced binary codes. Tables
 are keyed by substrings of the code; how long and how many follows from the number of vectors and the recall asked for.
 Vectors that share a table's bucket are compared by cosine in double precision. A pair that several tables hold counts in
-the first of them. A bucket yields each member's number of links and a spanning forest, never pairs; buckets over
-``BLOCK`` members are divided into blocks, and each pair of blocks is a group of its own.
+the first of them. Equal vectors are one vector with a count before they are dealt, so copies cost no comparison. A bucket
+yields each member's number of links and a spanning forest, never pairs; buckets over ``BLOCK`` members are divided into
+blocks, and each pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import components, iter_runs, run_starts, written
 
 BLOCK = 2048
 #: Tables to choose from, and how many comparisons a row costs that is moved.
-MOST, MOVE = 512, 100
+MOST, MOVE = 4096, 100
+#: The longest substring.
+LONGEST = 40
 #: The most vectors (about) on which a rotation is learned.
 SAMPLE = 20_000
 
@@ -69,7 +73,7 @@ def missed(bits: int, length: int, tables: int, threshold: float) -> float:
 def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits of a substring, tables): the cheapest by rows moved and vectors compared of which a pair at the threshold is missed with 1 - recall; (0, 1), one table of all vectors, where none does."""
     best = (math.inf, 0, 1)
-    for length in range(1, min(bits, 24) + 1):
+    for length in range(1, min(bits, LONGEST) + 1):
         if missed(bits, length, MOST, threshold) > 1 - recall:
             continue
         low, high = 1, MOST
@@ -80,7 +84,7 @@ def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
     return best[1:]
 
 
-def search(batches: Iterator[pa.RecordBatch], masks: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
+def search(batches: Iterator[pa.RecordBatch], masks: list[int], threshold: float, kind: type) -> Iterator[pa.RecordBatch]:
     """For each bucket, or pair of blocks of one: how many links count here, by row, and edges that connect them."""
     keys, marks = ["t", "key", "i", "j"], np.array(masks, np.uint64)
     for table in iter_runs(batches, keys):
@@ -91,9 +95,9 @@ def search(batches: Iterator[pa.RecordBatch], masks: list[int], threshold: float
             continue
         starts = run_starts(table, keys)
         rows, block, code, ts = (table.column(k).to_numpy() for k in ("row", "block", "code", "t"))
-        i_, j_ = table.column("i").to_numpy(), table.column("j").to_numpy()
+        i_, j_, copies = (table.column(k).to_numpy() for k in ("i", "j", "copies"))
         code = code.view(np.uint64)
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(len(rows), -1).astype(np.float64)
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), kind).reshape(len(rows), -1).astype(np.float64)
         x /= np.linalg.norm(x, axis=1)[:, None]
         out: list[np.ndarray] = []
         for a, b in zip(starts.tolist(), np.r_[starts[1:], len(rows)].tolist()):
@@ -108,7 +112,7 @@ def search(batches: Iterator[pa.RecordBatch], masks: list[int], threshold: float
             differ = code[a:b][p] ^ code[a:b][q]
             for m in marks[: ts[a]]:
                 first &= (differ & m) != 0
-            n = np.bincount(p[first], minlength=b - a)
+            n = np.bincount(p[first], weights=copies[a:b][q[first]], minlength=b - a).astype(np.int64)
             at = np.flatnonzero(n)
             out.append(np.stack([rows[a:b][at], np.full(len(at), -1), n[at]]))
             edges, left, frontier = [], np.arange(b - a), []
@@ -133,16 +137,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     """One row per row of ``vectors(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing; so do vectors of different
-    length with each other. Rows of one vec_id are vectors of their own. component_id is the smallest vec_id reachable, the
+    length with each other. Rows of one vec_id are vectors of their own. Cosines are in double precision. component_id is the smallest vec_id reachable, the
     own one included; null ids count for connection only. An empty table gives an empty result.
     """
-    e = F.col("embedding")
+    e, kind = F.col("embedding"), "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "double"
     ok = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = written(vectors.select("vec_id", F.when(ok, e.cast("array<float>")).alias("embedding"), F.monotonically_increasing_id().alias("row")))
-    valid = rows.where(F.col("embedding").isNotNull())
+    same = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("b")).alias("same")  # 128 bits stand for a vector
+    rows = vectors.select("vec_id", F.when(ok, e.cast(f"array<{kind}>")).alias("embedding")).select("vec_id", "embedding", same)
+    rows = written(rows.withColumn("same", F.when(F.col("embedding").isNotNull(), F.col("same"))))
+    each = rows.where("same is not null").groupBy("same").agg(F.count("*").alias("copies"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("id"))
+    each = written(each.withColumn("row", F.monotonically_increasing_id()))
     found = []
-    for r in valid.groupBy(F.size("embedding").alias("d")).count().collect():  # a row for each length of vector
-        found.append(of_length(valid.where(F.size("embedding") == r.d), r.d, r["count"], threshold, recall, sample))
+    for r in each.groupBy(F.size("embedding").alias("d")).count().collect():  # a row for each length of vector
+        found.append(of_length(each.where(F.size("embedding") == r.d), r.d, r["count"], threshold, recall, sample))
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     links = found[0]
@@ -150,10 +157,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         links = links.unionAll(x)
     counts = links.where("v < 0").groupBy("u").agg(F.sum("n").alias("n_links"))
     roots = written(components(links.where("v >= 0").select("u", "v")))
-    at = rows.drop("embedding").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
-    ids = at.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = at.join(ids, "root").join(counts, F.col("row") == F.col("u"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    at = each.drop("embedding").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
+    ids = at.groupBy("root").agg(F.min("id").alias("component_id"))
+    of = at.join(ids, "root").join(counts, F.col("row") == F.col("u"), "left").select(F.col("same").alias("of"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "same").join(of, F.col("same") == F.col("of"), "left")
+    least = F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), least.alias("component_id"), F.coalesce(F.col("vec_id") == least, F.lit(False)).alias("kept"))
 
 
 def of_length(valid: DataFrame, d: int, n: int, threshold: float, recall: float, sample: int) -> DataFrame:
@@ -161,31 +170,31 @@ def of_length(valid: DataFrame, d: int, n: int, threshold: float, recall: float,
     part = valid.where(F.pmod(F.xxhash64("row"), F.lit(2**31)) < F.lit(int(min(1.0, sample / n) * 2**31))).limit(2 * sample)
     x = np.array([r.embedding for r in part.select("embedding").collect()], np.float64).reshape(-1, d)  # a bounded sample
     x /= np.linalg.norm(x, axis=1)[:, None]
-    bits = min(64, d)
+    bits, kind = min(64, d), np.float32 if valid.schema["embedding"].dataType.elementType == T.FloatType() else np.float64
     rotation = learn_rotation(x, bits)
     length, tables = plan(n, bits, threshold, recall)
     masks = substrings(bits, length, tables)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b.column("embedding").flatten().to_numpy().astype(np.float32).reshape(-1, d)
+            v = b.column("embedding").flatten().to_numpy().reshape(-1, d)
             u = v.astype(np.float64)
             signs = (u / np.linalg.norm(u, axis=1)[:, None]) @ rotation >= 0
             packed = np.zeros((len(v), 64), bool)
             packed[:, :bits] = signs
             code = np.packbits(packed, axis=1, bitorder="little").view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(code), pa.array([x.tobytes() for x in v], pa.binary())], ["row", "code", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("copies"), pa.array(code), pa.array([x.tobytes() for x in v], pa.binary())], ["row", "copies", "code", "vec"])
 
-    coded = written(valid.select("row", "embedding").mapInArrow(codes, "row long, code long, vec binary"))
+    coded = written(valid.select("row", "copies", "embedding").mapInArrow(codes, "row long, copies long, code long, vec binary"))
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     keyed = [F.struct(F.lit(k).alias("t"), F.col("code").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)]
-    members = coded.withColumn("x", F.explode(F.array(*keyed))).select("x.t", "x.key", "row", "code", "vec")
+    members = coded.withColumn("x", F.explode(F.array(*keyed))).select("x.t", "x.key", "row", "copies", "code", "vec")
     large = written(members.groupBy("t", "key").count().where(F.col("count") > BLOCK).select("t", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     dealt = members.join(large, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "row", "code", "vec")
+    dealt = dealt.select("t", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "row", "copies", "code", "vec")
     groups = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return written(groups.mapInArrow(lambda b: search(b, masks, threshold), "u long, v long, n long"))
+    return written(groups.mapInArrow(lambda b: search(b, masks, threshold, kind), "u long, v long, n long"))
 
 
 ORACLE_SQL = """

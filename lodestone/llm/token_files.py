@@ -2,9 +2,9 @@
 
 A shard file holds the raw ids of its documents one after another; its index file maps a document key in constant
 time to the place of its ids. The index is a minimal perfect hash: keys are put into bit tables level by level
-(a key settles where no other key of the level falls), and the rank of its bit is its slot. A slot stores a 32-bit
-fingerprint of its key, so that most foreign keys are refused without a look at the data, and the first row of the
-key; the stored key of that row decides.
+(a key settles where no other key of the level falls), and the rank of its bit is its slot. A slot stores a 64-bit
+fingerprint of its key, one-to-one with it, so that foreign keys are refused without a look at the data, and the first row
+of the key. A reader of single keys opens the one shard that may hold them, its index and the bytes of their ids only.
 """
 
 from __future__ import annotations
@@ -76,7 +76,8 @@ class PerfectHash:
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.int64).view(U64), 977) >> U64(32)).astype(np.uint32)
+    """64 bits that are one-to-one with the key: equal ones prove it."""
+    return mix(keys.astype(np.int64).view(U64), 977)
 
 
 def index_bytes(keys: np.ndarray, n_null: int, starts: np.ndarray, id_bytes: int) -> bytes:
@@ -85,12 +86,12 @@ def index_bytes(keys: np.ndarray, n_null: int, starts: np.ndarray, id_bytes: int
     unique = keys[first]
     mph = PerfectHash.build(unique)
     slots = mph.slots(unique)
-    prints, rows = np.zeros(len(unique), np.uint32), np.zeros(len(unique), np.int64)
+    prints, rows = np.zeros(len(unique), U64), np.zeros(len(unique), np.int64)
     prints[slots], rows[slots] = fingerprint(unique), first + n_null
     sizes = np.array([len(b) for b in mph.levels], np.int64)
     head = np.array([id_bytes, n_null, len(keys), len(unique), len(sizes)], np.int64)
     bits = [np.packbits(b).tobytes() for b in mph.levels]
-    return b"".join([MAGIC, head.tobytes(), sizes.tobytes(), *bits, prints.tobytes(), rows.tobytes(), keys.astype(np.int64).tobytes(), starts.astype(np.int64).tobytes()])
+    return b"".join([MAGIC, head.tobytes(), sizes.tobytes(), *bits, prints.tobytes(), rows.tobytes(), starts.astype(np.int64).tobytes()])
 
 
 class ShardIndex:
@@ -112,8 +113,8 @@ class ShardIndex:
         for size in take(np.int64, n_levels).tolist():
             levels.append(np.unpackbits(take(np.uint8, (size + 7) // 8), count=size).astype(bool))
         self.mph = PerfectHash(levels)
-        self.prints, self.rows = take(np.uint32, n_unique), take(np.int64, n_unique)
-        self.keys, self.starts = take(np.int64, n), take(np.int64, n + self.n_null + 1)
+        self.prints, self.rows = take(U64, n_unique), take(np.int64, n_unique)
+        self.starts = take(np.int64, n + self.n_null + 1)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first row of each key; -1 where the shard lacks it."""
@@ -121,13 +122,16 @@ class ShardIndex:
             return np.full(len(keys), -1, np.int64)
         slots = self.mph.slots(keys)
         ok = (slots >= 0) & (self.prints[slots] == fingerprint(keys))
-        rows = np.where(ok, self.rows[slots], -1)
-        ok &= self.keys[np.maximum(rows - self.n_null, 0)] == keys
-        return np.where(ok, rows, -1)
+        return np.where(ok, self.rows[slots], -1)
 
     def span(self, row: int) -> tuple[int, int]:
         return int(self.starts[row]), int(self.starts[row + 1])
 
+    def ids(self, file: pa.NativeFile, a: int, b: int) -> np.ndarray:
+        """The ids a to b of the shard's file, the only bytes that are read."""
+        file.seek(a * self.id_bytes)
+        return np.frombuffer(file.read((b - a) * self.id_bytes), "<u2" if self.id_bytes == 2 else "<u4")
+
 
 #: Words of these letters alone are one pre-token, and no normaliser changes them but for their case.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
@@ -211,19 +215,26 @@ def put(where: str, data) -> None:
     store.move(part, path)
 
 
-def get(where: str) -> bytes:
+def opened(where: str) -> pa.NativeFile:
+    """A file to read at any place."""
     store, path = pafs.FileSystem.from_uri(where)
-    with store.open_input_stream(path) as f:
+    return store.open_input_file(path)
+
+
+def get(where: str) -> bytes:
+    with opened(where) as f:
         return f.read()
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab: int, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab: int, folder: str | None = None, shard_chars: int = 2**28) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write shards in ascending order of doc_id.
 
-    Returns the manifest ``(shard, path, n_rows, n_ids)``, one row per shard. A null text is empty; a null doc_id
+    Returns the manifest ``(shard, path, n_rows, n_ids, last_key)``, one row per shard. A null text is empty; a null doc_id
     sorts first and has no index entry; equal doc_ids stand next to each other, by text, and the index leads to
-    the first. Ids of a vocabulary of at most 65,536 take two bytes, others four. Shards are ranges of doc_id;
-    a lost task writes the same bytes again under the same name.
+    the first. Ids of a vocabulary of at most 65,536 take two bytes, others four. Shards are ranges of doc_id and the
+    text's beginning, of about ``shard_chars`` characters at most, or as many as there are shuffle partitions; a doc_id of
+    very many rows has several. A lost task writes the same bytes again under the same name. A shard has the ids of its
+    documents (``.ids``), the index (``.idx``) and its doc_ids in order (``.keys``), which only whole readings need.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
@@ -254,12 +265,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab:
             return
         put(f"{path}.ids", (x for part in ([one], rows) for x in part))
         starts = np.concatenate(([0], np.cumsum(np.array(lens, np.int64))))
-        put(f"{path}.idx", [index_bytes(np.concatenate(keys), n_null, starts, id_bytes)])
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_rows": pa.array([len(lens)], pa.int64()), "n_ids": pa.array([int(starts[-1])], pa.int64())})
+        known = np.concatenate(keys)
+        put(f"{path}.idx", [index_bytes(known, n_null, starts, id_bytes)])
+        put(f"{path}.keys", [known.tobytes()])
+        last = int(known[-1]) if len(known) else None
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_rows": pa.array([len(lens)], pa.int64()), "n_ids": pa.array([int(starts[-1])], pa.int64()), "last_key": pa.array([last], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(write, "shard int, path string, n_rows long, n_ids long").collect()  # a row for each shard
-    return spark.createDataFrame(sorted(rows), "shard int, path string, n_rows long, n_ids long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // shard_chars))
+    ordered = d.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    kinds = "shard int, path string, n_rows long, n_ids long, last_key long"
+    return spark.createDataFrame(sorted(ordered.mapInArrow(write, kinds).collect()), kinds)  # a row for each shard
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -276,19 +293,19 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                index, raw = ShardIndex(get(f"{path}.idx")), memoryview(get(f"{path}.ids"))
-                first = index.find(index.keys)
+                index, known = ShardIndex(get(f"{path}.idx")), np.frombuffer(get(f"{path}.keys"), np.int64)
+                first = index.find(known)
                 assert (first >= 0).all(), f"{path}: the index lacks a key"
                 # the hash leads to the first row of a key; rows of an equal key follow it
-                run = np.flatnonzero(np.r_[True, index.keys[1:] != index.keys[:-1]]) if len(first) else np.zeros(0, np.int64)
+                run = np.flatnonzero(np.r_[True, known[1:] != known[:-1]]) if len(first) else np.zeros(0, np.int64)
                 nth = np.arange(len(first)) - np.repeat(run, np.diff(np.r_[run, len(first)]))
                 rows = np.concatenate([np.arange(index.n_null), first + nth]).astype(np.int64)
-                kind = np.dtype("<u2" if index.id_bytes == 2 else "<u4")
-                keys = [None] * index.n_null + index.keys.tolist()
-                for k in range(0, len(rows), 4096):
-                    spans = [index.span(r) for r in rows[k : k + 4096].tolist()]
-                    crc = [zlib.crc32(np.frombuffer(raw[a * index.id_bytes : b * index.id_bytes], kind).astype("<u4").tobytes()) for a, b in spans]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[k : k + 4096], pa.int64()), "start": pa.array([base + a for a, _ in spans], pa.int64()), "n_tokens": pa.array([b - a for a, b in spans], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                keys = [None] * index.n_null + known.tolist()
+                with opened(f"{path}.ids") as f:
+                    for k in range(0, len(rows), 1024):
+                        spans = [index.span(r) for r in rows[k : k + 1024].tolist()]
+                        crc = [zlib.crc32(index.ids(f, a, b).astype("<u4").tobytes()) for a, b in spans]
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[k : k + 1024], pa.int64()), "start": pa.array([base + a for a, _ in spans], pa.int64()), "n_tokens": pa.array([b - a for a, b in spans], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     table = spark.createDataFrame(shards, "path string, base long")
     if shards:
@@ -299,24 +316,29 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Keyed access: the ids ``(doc_id, ids)`` of the documents named in ``keys(doc_id)``; absent keys give no row.
 
-    Each key goes to the shard whose key range holds it (shards are ranges), there through hash and fingerprint.
+    Each key goes to the first shard whose last key isn't below it, the only one that is opened for it: there hash and
+    fingerprint lead to its row, and its ids alone are read. Keys of one shard meet in one task.
     """
-    rows = sorted(manifest.collect())
-    if not rows:
-        return keys.sparkSession.createDataFrame([], "doc_id long, ids array<int>")
-    paths = [r.path for r in rows]
+    shards = sorted(r for r in manifest.collect() if r.last_key is not None)
+    paths, lasts = [r.path for r in shards], np.array([r.last_key for r in shards], np.int64)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.searchsorted(lasts, wanted, "left")
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(at[at < len(lasts)], pa.int32()), "doc_id": pa.array(wanted[at < len(lasts)])})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[str, ShardIndex] = {}
-        wanted = np.concatenate([b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64) for b in batches] or [np.zeros(0, np.int64)])
-        for path in paths if len(wanted) else []:
-            index = opened.setdefault(path, ShardIndex(get(f"{path}.idx")))
-            at = index.find(wanted)
-            if (at >= 0).any():
-                raw, kind = memoryview(get(f"{path}.ids")), np.dtype("<u2" if index.id_bytes == 2 else "<u4")
-                spans = [index.span(r) for r in at[at >= 0].tolist()]
-                ids = [np.frombuffer(raw[a * index.id_bytes : b * index.id_bytes], kind).astype(np.int32).tolist() for a, b in spans]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(wanted[at >= 0]), "ids": pa.array(ids, pa.list_(pa.int32()))})
-            opened.clear()
-
-    return keys.select(F.col("doc_id").cast("long")).distinct().mapInArrow(find, "doc_id long, ids array<int>")
+        now, index = -1, None
+        for b in batches:
+            at, wanted = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(at).tolist():
+                if k != now:  # batches come in order of the shard
+                    now, index = k, ShardIndex(get(f"{paths[k]}.idx"))
+                rows = index.find(wanted[at == k])
+                with opened(f"{paths[k]}.ids") as f:
+                    for key, r in zip(wanted[at == k][rows >= 0].tolist(), rows[rows >= 0].tolist()):
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key], pa.int64()), "ids": pa.array([index.ids(f, *index.span(r)).astype(np.int32)], pa.list_(pa.int32()))})
+
+    routed = keys.select(F.col("doc_id").cast("long")).distinct().mapInArrow(route, "shard int, doc_id long")
+    return routed.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(find, "doc_id long, ids array<int>")

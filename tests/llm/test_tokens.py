@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, token_files
 from lodestone.llm.queries import tokenizer
@@ -40,6 +41,13 @@ def test_token_files_round_trip(spark, vocab):
     keys = spark.createDataFrame([(3,), (7,), (10**9,), (None,)], "doc_id long")
     found = {r.doc_id: r.ids for r in token_files.lookup(manifest, keys).collect()}
     assert set(found) == {3, 7} and found[3] == [1]
+    lasts = [r.last_key for r in manifest.sort("shard").collect()]
+    assert lasts == sorted(lasts) and len(lasts) > 1
+    # other shards than the key's aren't opened: theirs may be missing
+    far = manifest.withColumn("path", F.when(F.col("shard") == min(s for s, k in enumerate(lasts) if k >= 3), F.col("path")).otherwise("file:///nowhere"))
+    assert [r.ids for r in token_files.lookup(far, spark.createDataFrame([(3,)], "doc_id long")).collect()] == [[1]]
+    small = token_files.write_token_files(data.docs(spark), path, 1, vocab, shard_chars=2000)
+    assert small.count() > len(lasts) and small.agg(F.sum("n_ids")).first()[0] == start
     none = token_files.write_token_files(data.empty(spark), path, 1, vocab)
     assert token_files.read_token_files(none).count() == 0 and token_files.lookup(none, keys).count() == 0
 
