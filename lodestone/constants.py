@@ -30,6 +30,9 @@ TIER_DOMAINS = {
 # Query parameters that only track visitors.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "ref", "source"]
 
+# Parts of links that a crawl doesn't follow.
+UNFOLLOWED = ["/login", "/signin", "/signup", "/cart", "/checkout", "utm_", "mailto:"]
+
 # Words that make a sentence look like a claim, and technical terms.
 CLAIM_WORDS = [" is ", " are ", " uses ", " use ", " supports ", " provides ", " returns ", " requires ", " required ", " allows ", " includes ", " contains ", " must ", " should ", " can ", " cannot ", " endpoint", " api", " oauth", " authentication", " permission", " permissions", " rate limit", " quota", " pricing", " version", " deprec", " token", " access token", " scope", " field", " request", " response"]
 TECH_TERMS = ["api", "sdk", "oauth", "token", "endpoint", "request", "response", "authenticate", "authorize", "permission", "scope", "credential", "key", "secret", "rate limit", "quota", "pricing", "version", "deprecated", "field", "schema", "parameter", "header", "body", "json", "xml", "rest", "graphql", "webhook"]

@@ -134,5 +134,5 @@ def is_blocked_reason(reason: Column) -> Column:
 
 
 def should_retry(accepted: Column, skipped: Column, failed: Column, returned: Column, error: Column) -> Column:
-    """``skipped`` pages alone give no reason to try again."""
-    return F.when(accepted > 0, False).when(error.isNotNull(), True).when(returned > 0, True).otherwise(failed > 0)
+    """``skipped`` pages alone give no reason to try again, nor does an empty error."""
+    return F.when(accepted > 0, False).when(F.coalesce(error, F.lit("")) != "", True).when(returned > 0, True).otherwise(failed > 0)

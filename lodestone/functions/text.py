@@ -65,11 +65,52 @@ def normalize_url(url: Column) -> Column:
     return F.when(F.try_parse_url(url, F.lit("HOST")).isNull(), url).otherwise(F.regexp_replace(bare, r"/(?=\z|\?)", ""))
 
 
+def page_key(url: Column) -> Column:
+    """A url without fragment and trailing slashes."""
+    return F.regexp_replace(F.regexp_replace(url, "#.*", ""), r"/+\z", "")
+
+
+def hrefs(html: Column) -> Column:
+    """The link targets of a page's anchors, in order."""
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return F.filter(F.transform(quoted, lambda x: F.regexp_replace(x, "^.|.$", "")), lambda x: x != "")
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """``href`` as an address, seen from the page ``base``; without fragment and trailing slashes."""
+    part = lambda k: F.regexp_extract(base, r"^(([a-zA-Z][a-zA-Z0-9+.-]*:)//[^/?#]*)([^?#]*)", k)
+    path = part(3)
+    full = (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(part(2), href))
+        .when(href.startswith("/"), F.concat(part(1), href))
+        .when(href.startswith("?") | href.startswith("#"), F.concat(part(1), path, href))
+        .otherwise(F.concat(part(1), F.regexp_replace(path, r"/[^/]*\z", ""), F.lit("/"), href))
+    )
+    return page_key(full)
+
+
+def to_follow(base: Column, link: Column) -> Column:
+    """Whether a crawl of ``base``'s site follows a link: http(s), of the same host, and none of the fixed parts in it."""
+    site = lambda u: F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#]*)", 1)
+    low, out = F.lower(link), link.rlike("^(?i)https?://") & (site(base) == site(link))
+    for part in K.UNFOLLOWED:
+        out = out & ~low.contains(part)
+    return out
+
+
 def content_hash(text: Column) -> Column:
-    """A rolling 32-bit hash of the trimmed, collapsed, lower-case text, in base 36 of at least 7 digits."""
+    """A rolling 32-bit hash over the UTF-16 units of the trimmed, collapsed, lower-case text, in base 36 of at least 7 digits."""
     s = F.lower(F.regexp_replace(trim_all(text), r"\s+", " "))
-    codes = F.when(s == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("long")))
-    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(4294967295)))
+    chars = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+    roll = lambda a, unit: (a * 31 + unit).bitwiseAND(F.lit(4294967295))
+
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        pair = F.shiftright(code - 65536, 10) + 55296, (code - 65536).bitwiseAND(F.lit(1023)) + 56320
+        return F.when(code < 65536, roll(a, code)).otherwise(roll(roll(a, pair[0]), pair[1]))
+
+    h = F.aggregate(chars, F.lit(0).cast("long"), step)
     digits = F.lower(F.conv(F.abs(F.when(h >= 2147483648, h - 4294967296).otherwise(h)).cast("string"), 10, 36))
     return F.when(F.length(digits) < 7, F.lpad(digits, 7, "0")).otherwise(digits)
 
@@ -94,9 +135,11 @@ def shorten(text: Column, n: int) -> Column:
 
 def strip_markdown(text: Column) -> Column:
     """Plain text: fences, tags, bullets, numbers and pipes go, code and links keep their words. Links come before images."""
+    bare = text
     for pattern, to in ((r"(?s)```.*?```", " "), ("`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), ("<[^>]+>", " "), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"\|", " ")):
-        text = F.regexp_replace(text, pattern, to)
-    return trim_all(F.regexp_replace(text, r"\s+", " "))
+        bare = F.regexp_replace(bare, pattern, to)
+    marked = text.rlike(r"(?m)[`\[<|]|^\s*(?:[-*+]|\d+\.)\s")  # most text isn't, and needs none of the above
+    return trim_all(F.regexp_replace(F.when(marked, bare).otherwise(text), r"\s+", " "))
 
 
 def extract_entities(text: Column, most: int = 10) -> Column:

@@ -7,26 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import hrefs, page_key, resolved, to_follow
 from lodestone.operators.evidence import checkpointed
 
-BLOCKED_LINKS = r"(?i)\.(pdf|zip|png|jpe?g|gif|svg|mp4)\z|mailto:|javascript:"
-
-
-def page_key(url: Column) -> Column:
-    """A url without fragment and trailing slashes."""
-    return F.regexp_replace(F.regexp_replace(url, "#.*", ""), r"/+\z", "")
-
-
 def link_table(pages: DataFrame) -> DataFrame:
-    """``key, link, pos``: the links of ``pages(url, html)`` in order, absolute, http(s) and on the page's own host."""
-    origin = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0)
-    folder = F.regexp_replace(F.regexp_replace("url", r"[?#].*", ""), r"(?<=[^/:])/[^/]*\z", "")
-    hrefs = pages.select(page_key(F.col("url")).alias("key"), origin.alias("origin"), folder.alias("folder"), F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href="([^"]*)\""""), F.lit(1))).alias("pos", "href"))
-    href = F.col("href")
-    full = F.when(href.rlike(r"^(?i)[a-z]+:"), href).when(href.startswith("/"), F.concat("origin", "href")).otherwise(F.concat("folder", F.lit("/"), "href"))
-    out = hrefs.select("key", page_key(full).alias("link"), "pos", "origin")
-    same = F.lower(F.regexp_extract("link", r"^[a-zA-Z]+://[^/?#]*", 0)) == F.lower("origin")
-    return out.where(F.col("link").rlike(r"^(?i)https?://") & same & ~F.col("link").rlike(BLOCKED_LINKS)).groupBy("key", "link").agg(F.min("pos").alias("pos"))
+    """``key, link, pos``: the links of ``pages(url, html)`` that a crawl follows, in order of first sight."""
+    found = pages.select("url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href")).select(page_key(F.col("url")).alias("key"), "url", resolved(F.col("url"), F.col("href")).alias("link"), "pos")
+    return found.where(to_follow(F.col("url"), F.col("link"))).groupBy("key", "link").agg(F.min("pos").alias("pos"))
 
 
 def bounded_crawl(pages: DataFrame, roots: DataFrame, max_depth: int = 1, max_pages: int = 25, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores
@@ -12,7 +12,7 @@ from lodestone.functions.text import canonicalize_url, clean_markdown, content_h
 
 
 def chunk_bounds(text: Column, size: int = 700, overlap: int = 200) -> Column:
-    """``array<struct<s, e>>`` of the chunks of a cleaned text (the end is exclusive), found by one fold in the JVM.
+    """``array<struct<s, e>>`` of the chunks of a cleaned text (the end is exclusive), found by one fold over its blank lines in the JVM.
 
     A chunk ends at the last blank line before its limit if that lies past 55 % of its size; the next one starts ``overlap`` before that end.
     """
@@ -20,17 +20,18 @@ def chunk_bounds(text: Column, size: int = 700, overlap: int = 200) -> Column:
         raise ValueError("overlap must be below 55 % of size")
     least = int(size * 0.55)
     n = F.length(text)
+    # where a line end follows another: the text is cut between the two, and the pieces' lengths add up
+    cuts = F.aggregate(F.split(text, r"(?<=\n)(?=\n)"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    breaks = F.transform(F.slice(cuts, 2, F.greatest(F.size(cuts) - 2, F.lit(0))), lambda x: x - 1)
     steps = F.sequence(F.lit(0), F.floor(n / (least - overlap + 1)).cast("int") + 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"), breaks.alias("left"))
 
     def step(a: Column, _: Column) -> Column:
         hard = F.least(a["at"] + size, n)
-        # a break may begin at the limit itself
-        window = F.substring(text, a["at"] + least + 2, hard - a["at"] - least + 1)
-        back = F.instr(F.reverse(window), "\n\n")
-        end = F.when(back > 0, a["at"] + least + 1 + F.length(window) - back - 1).otherwise(hard)
+        left = F.filter(a["left"], lambda x: x > a["at"] + least)
+        end = F.coalesce(F.array_max(F.filter(left, lambda x: x <= hard)), hard)
         made = F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), end.alias("e"))))
-        return F.when(a["at"] < 0, a).otherwise(F.struct(F.when(end >= n, -1).otherwise(F.greatest(F.lit(0), end - overlap)).alias("at"), made.alias("out")))
+        return F.when(a["at"] < 0, a).otherwise(F.struct(F.when(end >= n, -1).otherwise(F.greatest(F.lit(0), end - overlap)).alias("at"), made.alias("out"), left.alias("left")))
 
     return F.when(n > 0, F.aggregate(steps, start, step)["out"]).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
@@ -69,16 +70,22 @@ def claim_candidates(text: Column) -> Column:
 def extract_evidence(pages: DataFrame, per_page: int = 30) -> DataFrame:
     """Claims of ``pages(pack_id, url, title, markdown, tier, pos)``: the first ``per_page`` of a page, each url and claim once.
 
-    Adds claim, quote, section, confidence, entities and claim_pos, an order of claims within the pack.
+    Adds claim, quote, section, confidence, entities and claim_pos, an order of claims within the pack. What concerns one
+    page is settled in its own row; only urls with several pages need more.
     """
-    s = pages.select("pack_id", "url", "title", "tier", "pos", F.posexplode(split_sections(F.col("markdown"))).alias("section_no", "s"))
-    c = s.select("pack_id", "url", "title", "tier", "pos", "section_no", F.col("s.heading").alias("section"), F.posexplode(claim_candidates(F.col("s.text"))).alias("no", "candidate"))
-    c = c.where(scores.looks_like_claim(F.col("candidate"))).withColumn("claim", strip_markdown(F.col("candidate"))).drop("candidate")
-    at = F.struct("pos", "section_no", "no")
-    first = Window.partitionBy("pack_id", "pos", "url", F.lower("claim")).orderBy("section_no", "no")
-    c = c.withColumn("n", F.row_number().over(first)).where("n = 1")
-    c = c.withColumn("n", F.row_number().over(Window.partitionBy("pack_id", "pos").orderBy("section_no", "no"))).where(F.col("n") <= per_page)
-    c = c.withColumn("claim_pos", at).withColumn("n", F.row_number().over(Window.partitionBy("pack_id", "url", F.lower("claim")).orderBy("claim_pos"))).where("n = 1")
+    found = F.flatten(
+        F.transform(
+            split_sections(F.col("markdown")),
+            lambda s, k: F.transform(claim_candidates(s.text), lambda c, i: F.struct(k.cast("int").alias("section_no"), i.cast("int").alias("no"), s.heading.alias("section"), c.alias("claim"))),
+        )
+    )
+    c = pages.select("pack_id", "url", "title", "tier", "pos", F.filter(found, lambda x: scores.looks_like_claim(x.claim)).alias("cs"))
+    c = c.withColumn("cs", F.transform("cs", lambda x: x.withField("claim", strip_markdown(x.claim)))).withColumn("low", F.transform("cs", lambda x: F.lower(x.claim)))
+    first = F.filter("cs", lambda x, i: F.array_position("low", F.get("low", i)) == i + 1)
+    c = c.select("pack_id", "url", "title", "tier", "pos", F.explode(F.slice(first, 1, per_page)).alias("x"))
+    c = c.select("pack_id", "url", "title", "tier", F.struct("pos", "x.section_no", "x.no").alias("claim_pos"), "x.claim", "x.section")
+    seen = c.groupBy("pack_id", "url", F.lower("claim").alias("low")).agg(F.min(F.struct("claim_pos", "title", "tier", "claim", "section")).alias("x"))
+    c = seen.select("pack_id", "url", "x.title", "x.tier", "x.claim_pos", "x.claim", "x.section")
     claim = F.col("claim")
     quote = F.when(F.length(claim) > 360, F.concat(F.substring(claim, 1, 357), F.lit("..."))).otherwise(claim)
     return c.select("pack_id", "url", "title", "tier", "claim_pos", "claim", quote.alias("quote"), "section", scores.claim_confidence(F.col("tier"), F.col("section")).alias("confidence"), extract_entities(claim).alias("entities"))
@@ -91,10 +98,13 @@ def fallback_evidence(pages: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the session's checkpoint folder; a folder is set only where the session has none."""
+    """``df`` with its lineage cut in the session's checkpoint folder; on one machine a folder is set where the session has none."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return df.checkpoint()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import trim_all
+from lodestone.functions.text import hrefs, resolved, to_follow, trim_all
 
 
 def conversation_context(turns: DataFrame, max_chars: int = 24_000) -> DataFrame:
@@ -29,15 +29,9 @@ def job_status(events: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Distinct links ``(page_id, link)`` of ``pages(page_id, url, html)`` on their own host: absolute, without fragment and trailing slash."""
-    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href="([^"]*)\""""), F.lit(1))).alias("href"))
-    origin = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0)
-    folder = F.regexp_replace(F.regexp_replace("url", r"[?#].*", ""), r"(?<=[^/:])/[^/]*\z", "")
-    full = F.when(F.col("href").rlike(r"^(?i)https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(origin, "href")).otherwise(F.concat(folder, F.lit("/"), "href"))
-    bare = F.regexp_replace(F.regexp_replace(full, "#.*", ""), r"/+\z", "")
-    out = hrefs.select("page_id", bare.alias("link"), origin.alias("origin"))
-    same = F.lower(F.regexp_extract("link", r"^[a-zA-Z]+://[^/?#]*", 0)) == F.lower("origin")
-    return out.where(same & (F.col("link") != "")).select("page_id", "link").distinct()
+    """Distinct links ``(page_id, link)`` of ``pages(page_id, url, html)`` that a crawl follows: absolute, on their own host."""
+    found = pages.select("page_id", "url", F.explode(hrefs(F.col("html"))).alias("href")).select("page_id", "url", resolved(F.col("url"), F.col("href")).alias("link"))
+    return found.where(to_follow(F.col("url"), F.col("link"))).select("page_id", "link").distinct()
 
 
 def html_title(html: Column, url: Column) -> Column:
@@ -45,13 +39,26 @@ def html_title(html: Column, url: Column) -> Column:
 
 
 def grounding_audit(answers: DataFrame) -> DataFrame:
-    """``answers(answer_id, markdown, declared array<int>)`` with the citation ids referenced, missing and unused, and the status."""
+    """``answers(answer_id, markdown, citations array<struct<id, url>>, row_urls array<string>)`` with the citation ids referenced,
+    declared, missing, unused and ungrounded (their url is in no evidence row), the issues and the status.
+
+    An answer with evidence rows and no marker fails; one with neither passes.
+    """
     body = F.regexp_replace("markdown", r"(?s)\n## Sources.*", "")
     ids = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
-    a = answers.withColumn("referenced", ids).withColumn("declared", F.array_sort("declared"))
+    a = answers.withColumn("referenced", ids).withColumn("declared", F.array_sort(F.transform("citations", lambda c: c.id)))
     a = a.withColumn("missing", F.array_except("referenced", "declared")).withColumn("unused", F.array_except("declared", "referenced"))
-    ok = (F.size("missing") == 0) & (F.size("unused") == 0) & (F.size("referenced") > 0)
-    return a.withColumn("status", F.when(ok, "pass").otherwise("fail"))
+    a = a.withColumn("ungrounded", F.transform(F.filter("citations", lambda c: ~F.coalesce(F.array_contains("row_urls", c.url), F.lit(False))), lambda c: c.id))
+    said = lambda text, x: F.when(F.size(x) > 0, F.concat(F.lit(text), F.array_join(F.transform(x, lambda i: i.cast("string")), ", ")))
+    issues = F.array_compact(
+        F.array(
+            said("Citation IDs referenced but not declared: ", "missing"),
+            said("Citation IDs declared but not referenced in body: ", "unused"),
+            said("Citations do not map back to any kept evidence row: ", "ungrounded"),
+            F.when((F.size("referenced") == 0) & (F.size("row_urls") > 0), F.lit("Answer has evidence rows but no inline citation markers found in body.")),
+        )
+    )
+    return a.withColumn("issues", issues).withColumn("status", F.when(F.size("issues") == 0, "pass").otherwise("fail"))
 
 
 def dedupe_memory_drafts(drafts: DataFrame) -> DataFrame:

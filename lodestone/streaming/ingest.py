@@ -11,22 +11,19 @@ from lodestone.operators.evidence import chunk_text
 
 
 def stream_ingest(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Chunk documents ``(doc_id, text)`` as their Parquet files arrive; a text that was stored before, or earlier in the batch, is skipped."""
+    """Chunk documents ``(doc_id, text)`` as their Parquet files arrive; a text that came before, in any batch, is skipped.
+
+    The hashes seen are the stream's state, so no batch reads what is stored.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.withColumn("content_hash", hash_text(F.col("text"))).dropDuplicates(["content_hash"])
-        try:
-            fresh = fresh.join(spark.read.parquet(f"{out}/documents").where(F.col("batch") < batch_id).select("content_hash"), "content_hash", "left_anti")
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh = fresh.persist()
+        fresh = batch.persist()
         # a batch that runs again writes the same folders again
         fresh.select("doc_id", "content_hash").write.mode("overwrite").parquet(f"{out}/documents/batch={batch_id}")
         chunk_text(fresh, "doc_id", "text").write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
         fresh.unpersist()
 
-    stream = spark.readStream.schema(schema).parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder).withColumn("content_hash", hash_text(F.col("text"))).dropDuplicates(["content_hash"])
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

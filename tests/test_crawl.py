@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import crawl
 
-SITE = {"/": ["/a", "b/", "/a#x", "https://other.org/z", "/c.pdf"], "/a": ["/d", "/"], "/b": ["/missing", "/d", "/e"], "/d": ["/f"], "/e": [], "/f": []}
+SITE = {"/": ["/a", "b/", "/a#x", "https://other.org/z", "/Login?next=c"], "/a": ["/d", "/"], "/b": ["/missing", "/d", "/e"], "/d": ["/f"], "/e": [], "/f": []}
 
 
 def slow(root, depth, most):
@@ -16,7 +16,7 @@ def slow(root, depth, most):
         if found and d < depth:
             for h in SITE[path]:
                 link = ("https://x.org" + ("" if h.startswith("/") else "/") + h if not h.startswith("http") else h).split("#")[0].rstrip("/")
-                if link.startswith("https://x.org") and not link.endswith(".pdf") and link not in seen:
+                if link.startswith("https://x.org") and "/login" not in link.lower() and link not in seen:
                     seen.add(link)
                     queue.append((link, key, d + 1))
     return out

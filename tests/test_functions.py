@@ -25,6 +25,18 @@ def test_canonical_urls(spark):
 
 def test_hash_and_text(spark):
     assert col(spark, ["  Hello \n World "], text.content_hash) == ["0to5x38"]
+
+    def units(t):  # over UTF-16
+        raw, h = t.encode("utf-16-be"), 0
+        for k in range(0, len(raw), 2):
+            h = (31 * h + int.from_bytes(raw[k : k + 2])) % 2**32
+        h, out = abs(h - 2**32 if h >= 2**31 else h), ""
+        while h:
+            h, d = divmod(h, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+        return out.rjust(7, "0")
+
+    assert col(spark, ["a \U0001f642 b", "\U00010000", ""], text.content_hash) == [units("a \U0001f642 b"), units("\U00010000"), "0000000"]
     assert col(spark, ["a [b](http://c) ![d](e) `f` <b>g</b>\n- h\n1. i | j"], text.strip_markdown) == ["a b !d f g h i j"]
     assert col(spark, ["The Graph API and OAuth, The Graph API"], text.extract_entities) == [["The Graph API", "OAuth"]]
     assert col(spark, ["made 2019 or 2024, 1999, 2090"], lambda x: text.infer_year(x, 2025)) == [2024]
@@ -54,7 +66,7 @@ def test_claims(spark):
     rows = [("a claim", "a quote of more than twenty characters", "https://a.b", "official_docs", 0.92), ("a claim", "a quote of more than twenty characters", "https://a.b", "community", 0.58), ("a claim", "", "https://a.b", "official_docs", 0.92), (None, "a quote of more than twenty characters", "https://a.b", "official_docs", 0.92)]
     got = spark.createDataFrame(rows, "c string, q string, u string, t string, s double").select(scores.verify_claim(*map(F.col, "cquts")).alias("v")).collect()
     assert [r.v for r in got] == ["supported", "weak", "unsupported", "unsupported"]
-    tries = [(1, 0, 0, 1, None, False), (0, 1, 0, 1, None, True), (0, 0, 1, 0, None, True), (0, 0, 0, 0, "x", True), (0, 0, 0, 0, None, False)]
+    tries = [(1, 0, 0, 1, None, False), (0, 1, 0, 1, None, True), (0, 0, 1, 0, None, True), (0, 0, 0, 0, "x", True), (0, 0, 0, 0, "", False), (0, 0, 0, 0, None, False)]
     got = spark.createDataFrame(tries, "a int, s int, f int, r int, e string, want boolean").select(scores.should_retry(*map(F.col, "asfre")).alias("v"), "want").collect()
     assert all(r.v == r.want for r in got)
 

@@ -81,9 +81,10 @@ def test_search(spark):
 
 
 def test_logs(spark):
-    a = spark.createDataFrame([(1, "x [1] y [2]\n## Sources\n[3]", [1, 2]), (2, "x [99]", [1]), (3, "", [])], "answer_id int, markdown string, declared array<int>")
-    got = {r.answer_id: (r.status, r.missing, r.unused) for r in logs.grounding_audit(a).collect()}
-    assert got == {1: ("pass", [], []), 2: ("fail", [99], [1]), 3: ("fail", [], [])}
+    rows = [(1, "x [1] y [2]\n## Sources\n[3]", [(1, "u1"), (2, "u2")], ["u1", "u2"]), (2, "x [99]", [(1, "u1")], ["u1"]), (3, "", [], []), (4, "no marker", [], ["u1"]), (5, "x [1]", [(1, "u9")], ["u1"])]
+    a = spark.createDataFrame(rows, "answer_id int, markdown string, citations array<struct<id:int,url:string>>, row_urls array<string>")
+    got = {r.answer_id: (r.status, r.missing, r.unused, r.ungrounded, len(r.issues)) for r in logs.grounding_audit(a).collect()}
+    assert got == {1: ("pass", [], [], [], 0), 2: ("fail", [99], [1], [], 2), 3: ("pass", [], [], [], 0), 4: ("fail", [], [], [], 1), 5: ("fail", [], [], [1], 1)}
     d = spark.createDataFrame([(1, "p", None, "s", "k", "A  b", ["u2", "u1"]), (2, "p", None, "s", "k", " a B", ["u1", "u2", "u1"]), (3, "p", "x", "s", "k", "a b", ["u1", "u2"])], "pos int, project_id string, user_id string, scope string, kind string, text string, source_urls array<string>")
     assert sorted(r.pos for r in logs.dedupe_memory_drafts(d).collect()) == [1, 3]
 
@@ -135,9 +136,10 @@ def test_memory_and_answers(spark):
     assert [r.claim for r in best] == ["b", "a  claim"]
     dump = spark.createDataFrame([("1 2 3\n44 55\n99",), ("plain words\nof text\nhere",), ("1",)], "t string").select(answers.numeric_dump(F.col("t")).alias("x")).collect()
     assert [r.x for r in dump] == [True, False, False]
-    c = spark.createDataFrame([(1, "https://docs.example.com/a"), (2, "https://example.com/b/"), (3, "https://other.org")], "pos int, url string")
-    mem = spark.createDataFrame([("m1", "source_quality", 1.0, ["https://example.com"], False), ("m2", "source_failure", 0.5, ["https://docs.example.com/a"], True), ("m3", "durable_fact", 1.0, ["https://other.org"], False)], "id string, kind string, confidence double, source_urls array<string>, domain_blocked boolean")
-    assert {r.pos: (r.delta, len(r.matched)) for r in memory.memory_deltas(c, mem).collect()} == {1: (3, 2), 2: (3, 2)}
+    c = spark.createDataFrame([(1, "https://docs.example.com/a", "One"), (2, "https://example.com/b/", "Two"), (3, "https://other.org", "The example api Docs")], "pos int, url string, title string")
+    mem = spark.createDataFrame([("m1", "source_quality", 1.0, ["https://example.com"], [], False), ("m2", "source_failure", 0.5, ["https://docs.example.com/a"], [], True), ("m3", "durable_fact", 0.9, ["https://other.org"], ["Nothing", "Example API", "Docs"], False)], "id string, kind string, confidence double, source_urls array<string>, entities array<string>, domain_blocked boolean")
+    deltas = {r.pos: (r.delta, r.matched) for r in memory.memory_deltas(c, mem).collect()}
+    assert {k: (d, len(t)) for k, (d, t) in deltas.items()} == {1: (3, 2), 2: (3, 2), 3: (5, 1)} and deltas[3][1] == ["memory:durable_fact_entity:Example API:+5"]
     stay, gone = memory.exclude_blocked(c, mem)
     assert sorted(r.pos for r in stay.collect()) == [2, 3] and [r.pos for r in gone.collect()] == [1]
     refs = spark.createDataFrame([("https://github.com/a/b.git",), ("a/b",), ("nothing",)], "r string").select(repos.parse_repo_ref(F.col("r")).alias("x")).collect()
