@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding of whole texts (operator 6), by tree concatenation.
 
-Texts of up to ``leaf`` characters are encoded as they are. A longer text is cut into halves again and again until
-the pieces have at most ``leaf`` characters; the pieces are rows of their own, so that tasks encode them in parallel.
-Then neighbours are joined pairwise up the tree. A join keeps the exact standalone encoding of its text:
+Every text is cut into halves again and again until the pieces have at most ``leaf`` characters; the pieces are encoded, and
+neighbours are joined pairwise up the tree. The pieces of a text over ``spread`` characters are rows of their own, so that
+tasks encode them in parallel; those of a shorter text are encoded where it is. A join keeps the exact standalone encoding
+of its text:
 
 * Pre-tokens. Matching goes from left to right and looks at most two pre-tokens past what it has, so all but the last
   three pre-tokens of the left side stay. From there a window into the right side is cut anew and grows until one of
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.token_files import Words, byte_characters, load
 
-LEAF = 32_768
+LEAF = 2_048
+#: Characters of a text from which its pieces are dealt to tasks.
+SPREAD = 32_768
 #: Pre-tokens of more characters than this are joined token by token.
 LONG = 512
 CUT = re.compile(r" (?=\S)")
 #: Texts without a match have single spaces and line ends only, each between other characters.
 ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 #: Characters at either end of a leaf that are held as single pre-tokens.
-EDGE = 256
+EDGE = 48
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -110,6 +113,22 @@ class Codec:
         middle = np.frombuffer(self.text(text[a:b]), "<u4").tolist()
         return Node([*left, text[a:b], *right], [*map(self.ids, left), middle, *map(self.ids, right)])
 
+    def grown(self, text: str, leaf: int) -> Node:
+        """A text without special tokens through the tree: leaves, joined level by level."""
+        return tree(self, [self.node(x) for x in halves(text, leaf)])
+
+    def whole(self, text: str | None, leaf: int) -> bytes:
+        """Ids of a whole text as bytes, through the tree; a tree of one leaf is that leaf."""
+        if not text or len(text) <= leaf:
+            return self.text(text)
+        out = []
+        for part, special in self.segments(text):
+            if special is not None:
+                out.append(special)
+            else:
+                out += [i for x in self.grown(part, leaf).ids for i in x]
+        return np.array(out, "<u4").tobytes()
+
     def decode(self, ids: bytes) -> str:
         get = self.bytes.__getitem__
         return b"".join(map(get, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -198,31 +217,32 @@ def tree(c: Codec, nodes: list[Node]) -> Node:
     return nodes[0]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, text: str = "text", keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, text: str = "text", keep_text: bool = True, spread: int = SPREAD) -> DataFrame:
     """``docs`` with a column ``ids``, the token ids as little-endian unsigned 32-bit integers; other columns stay (the text if ``keep_text``).
 
-    Null and empty texts have no ids. Every text is encoded whole. Texts over ``leaf`` characters go through the tree,
-    each distinct one once: their leaves are dealt to tasks by a 128-bit key of the text and their number, and come
-    together by that key; rows, repeated ones too, take the ids of their text.
+    Null and empty texts have no ids. Every text is encoded whole, through its tree. Texts over ``spread`` characters are
+    dealt to tasks in pieces, each distinct text once, by a 128-bit key of the text and the piece's number; the pieces' nodes
+    come together by that key, and rows, repeated ones too, take the ids of their text. One task holds the tokens of one
+    text, some 40 bytes each.
     """
     names = [c for c in docs.columns if keep_text or c != text]
     held = docs.withColumn("__n", F.length(F.coalesce(F.col(text), F.lit(""))))
-    short, long = held.where(F.col("__n") <= leaf).drop("__n"), held.where(F.col("__n") > leaf).drop("__n")
+    short, long = held.where(F.col("__n") <= spread).drop("__n"), held.where(F.col("__n") > spread).drop("__n")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for batch in pieces_of(batches):
-            got = [c.text(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            got = [c.whole(t, leaf) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             keep = [k for k in range(batch.num_columns) if batch.schema.names[k] in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(got, pa.binary())], [*(batch.schema.names[k] for k in keep), "ids"])
 
     from pyspark.sql import types as T
 
     out = T.StructType([*(f for f in docs.schema.fields if f.name in names), T.StructField("ids", T.BinaryType())])
-    return short.mapInArrow(plain, out).unionAll(encode_long(long, tokenizer_path, leaf, text, names))
+    return short.mapInArrow(plain, out).unionAll(encode_long(long, tokenizer_path, leaf, spread, text, names))
 
 
-def encode_long(long: DataFrame, tokenizer_path: str, leaf: int, text: str, names: list[str]) -> DataFrame:
+def encode_long(long: DataFrame, tokenizer_path: str, leaf: int, spread: int, text: str, names: list[str]) -> DataFrame:
     """The tree over the texts of ``long``: its columns ``names`` and ``ids``."""
     # every long text once, under its 128-bit key; rows take the ids of their text by that key
     key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.reverse(F.col(text))).alias("b"))
@@ -234,7 +254,7 @@ def encode_long(long: DataFrame, tokenizer_path: str, leaf: int, text: str, name
                 n = 0
                 rows = []
                 for s, (part, special) in enumerate(c.segments(t)):
-                    leaves = [part] if special is not None else halves(part, leaf)
+                    leaves = [part] if special is not None else halves(part, spread)
                     rows += [(a, b, s, n + k, special, x) for k, x in enumerate(leaves)]
                     n += len(leaves)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["a", "b", "segment", "leaf", "special", "part"])
@@ -244,7 +264,7 @@ def encode_long(long: DataFrame, tokenizer_path: str, leaf: int, text: str, name
         for batch in batches:
             pre, n, ids = [], [], []
             for special, part in zip(batch.column("special").to_pylist(), batch.column("part").to_pylist()):
-                node = Node([part], [[special]]) if special is not None else c.node(part)
+                node = Node([part], [[special]]) if special is not None else c.grown(part, leaf)
                 pre.append([len(p) for p in node.pre])
                 n.append([len(x) for x in node.ids])
                 ids.append(np.array([i for x in node.ids for i in x], "<u4").tobytes())
@@ -299,7 +319,7 @@ def digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, DIGESTS)
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> DataFrame:
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
     """``digests`` of ``encode`` for ``docs(doc_id, text)``, with both in one pass over the shorter texts."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = F.length(F.coalesce("text", F.lit("")))
@@ -307,10 +327,10 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for batch in pieces_of(batches):
-            yield digested(c, batch.column("doc_id"), [c.text(t) for t in batch.column("text").to_pylist()])
+            yield digested(c, batch.column("doc_id"), [c.whole(t, leaf) for t in batch.column("text").to_pylist()])
 
-    long = encode_long(d.where(n > leaf), tokenizer_path, leaf, "text", ["doc_id"])
-    return d.where(n <= leaf).mapInArrow(run, DIGESTS).unionAll(digests(long, tokenizer_path))
+    long = encode_long(d.where(n > spread), tokenizer_path, leaf, spread, "text", ["doc_id"])
+    return d.where(n <= spread).mapInArrow(run, DIGESTS).unionAll(digests(long, tokenizer_path))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

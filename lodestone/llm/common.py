@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         if jsc.getCheckpointDir().isEmpty():
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = jsc.getCheckpointDir().get()
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"

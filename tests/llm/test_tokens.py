@@ -52,19 +52,19 @@ def test_token_files_round_trip(spark, vocab):
     assert token_files.read_token_files(none).count() == 0 and token_files.lookup(none, keys).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [16_384, 64])
-def test_bpe_equals_the_library(spark, leaf):
+@pytest.mark.parametrize("leaf, spread", [(16_384, 32_768), (64, 4096), (32, 256)])
+def test_bpe_equals_the_library(spark, leaf, spread):
     path = tokenizer("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    encoded = bpe.encode(data.docs(spark).select("doc_id", "text"), path, leaf)
+    encoded = bpe.encode(data.docs(spark).select("doc_id", "text"), path, leaf, spread=spread)
     got = sorted((tuple(r) for r in bpe.digests(encoded, path).collect()), key=str)
     want = []
     for i, x, *_ in data.rows():
         ids = t.encode(x or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    assert sorted((tuple(r) for r in bpe.encode_and_decode(data.docs(spark, extra=True), path, leaf).collect()), key=str) == got
-    more = bpe.encode(data.docs(spark, extra=False).selectExpr("*", "1 a", "2 b", "3 special"), path, leaf)
+    assert sorted((tuple(r) for r in bpe.encode_and_decode(data.docs(spark, extra=True), path, leaf, spread).collect()), key=str) == got
+    more = bpe.encode(data.docs(spark, extra=False).selectExpr("*", "1 a", "2 b", "3 special"), path, leaf, spread=spread)
     assert more.count() == len(data.rows()) and bpe.decode(more, path).where("coalesce(text, '') != decoded").count() == 0
     assert bpe.encode(data.empty(spark), path, leaf).count() == 0
 
@@ -80,3 +80,15 @@ def test_tree_of_halves_is_exact_for_any_text():
         node = bpe.tree(c, [c.node(x) for x in bpe.halves(text, r.choice([1, 3, 16, 100]))])
         assert [i for x in node.ids for i in x] == c.tok.encode(text, add_special_tokens=False).ids
         assert c.decode(c.text(text)) == text and c.text(text) == np.array(c.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_very_long_texts_take_the_tree_as_it_is(spark):
+    path = tokenizer("byte_bpe_50k.json")
+    t, r = tokenizers.Tokenizer.from_file(path), random.Random(3)
+    vocab = ["alpha", "Beta,", "the", "of", "naïve", "東京", "they'll", "42", "x" * 40, "\n", "  ", "end."]
+    texts = [" ".join(r.choice(vocab) for _ in range(250_000)), "ab" * 40_000, " ".join(r.choice(vocab) for _ in range(9_000)) + "<|endoftext|>" + "é" * 20_000]
+    assert len(texts[0]) > 10**6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256) for x in bpe.encode_and_decode(df, path).collect()}
+    ids = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4") for x in texts]
+    assert got == {k: (len(x), hashlib.sha256(x.tobytes()).hexdigest()) for k, x in enumerate(ids)}
