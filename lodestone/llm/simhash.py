@@ -179,9 +179,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     rows = written(fingerprints(named).drop("text"))
     roots = written(components(links(rows.select("fp").distinct(), radius)))
-    at = rows.join(roots, rows.fp == roots.node, "left").select("doc_id", "fp", "text_key", F.coalesce("root", "fp").alias("root"))
-    least = at.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return at.join(least, "root").select("doc_id", "fp", "text_key", "root", "component_id")
+    # a row a fingerprint first, however many rows have it; then rows look up their own
+    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    own = written(own.join(roots, own.fp == roots.node, "left").select(F.col("fp").alias("of"), "least", F.coalesce("root", "fp").alias("root")))
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    own = own.join(least, "root").select("of", "root", "component_id")
+    return rows.join(own, rows.fp == own.of).select("doc_id", "fp", "text_key", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
