@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as K
 from lodestone.functions.query import has
-from lodestone.functions.text import trim_all
+from lodestone.functions.text import EDGE, trim_all
 
-QUALITY_ENTITY = r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9.]*(?:\s+[A-Z][A-Za-z0-9.]*){0,3}(?![A-Za-z0-9_])"
+QUALITY_ENTITY = r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9.]*(?:\s+[A-Z][A-Za-z0-9.]*){0,3}" + EDGE
 
 
 def by_tier(values: dict, tier: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as K
 
-ENTITY = r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9.+#-]*(?:\s+[A-Z][A-Za-z0-9.+#-]*){0,4}(?![A-Za-z0-9_])"
+#: The end of a word, or the place before one, in ASCII.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+ENTITY = r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9.+#-]*(?:\s+[A-Z][A-Za-z0-9.+#-]*){0,4}" + EDGE
 
 
 def whole_words(alternatives: str) -> str:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as K
+from lodestone.functions.checks import numeric_dump  # noqa: F401  (part of this module's interface)
+from lodestone.functions.query import answer_mode
 from lodestone.functions.scores import by_tier
-from lodestone.functions.text import query_tokens, trim_all
+from lodestone.functions.text import query_tokens, shorten, trim_all
 
 
 def answer_evidence(queries: DataFrame, claims: DataFrame, most: int = 10) -> DataFrame:
@@ -35,11 +37,59 @@ def answer_confidence(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pack_id").agg(F.least(F.lit(0.98), F.round(mean * 0.8 + F.count_if(yes) / F.count("*") * 0.2, 2)).alias("confidence"))
 
 
-def numeric_dump(text: Column) -> Column:
-    """Whether a text is mostly figures: lines, currency values, percentages or table rows."""
-    ls = F.filter(F.transform(F.split(text, "\n"), trim_all), lambda x: x != "")
-    share = F.try_divide(F.size(F.filter(ls, lambda x: F.regexp_count(x, F.lit("[0-9]")) / F.length(x) > 0.2)), F.size(ls))
-    money = F.regexp_count(text, F.lit(r"[$€£¥]\s*[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"))
-    percent = F.regexp_count(text, F.lit(r"[0-9]+(?:\.[0-9]+)?%"))
-    rows = F.regexp_count(text, F.lit(r"(?m)^\|.+\|$"))
-    return (F.size(ls) >= 3) & ((share > 0.35) | (money > 15) | (percent > 15) | ((rows > 20) & (share > 0.25)))
+def claim_line(most: int) -> Column:
+    """A claim as an answer prints it: shortened, marked where it is weak, with its citation."""
+    return F.concat(F.when(F.col("status") == "weak", "Likely: ").otherwise(""), shorten(F.col("claim"), most), F.coalesce(F.concat(F.lit(" ["), F.col("id").cast("string"), F.lit("]")), F.lit("")))
+
+
+def topic_table(rows: DataFrame, topics: int = 4, each: int = 3) -> DataFrame:
+    """``pack_id, body``: a row for each of the first topics (the first entity, else the title) with its first claims; ``rows`` in order of ``place``."""
+    topic = F.coalesce(F.nullif(F.get("entities", 0), F.lit("")), F.nullif("title", F.lit("")), F.lit("Other"))
+    r = rows.withColumn("topic", topic).withColumn("n", F.row_number().over(Window.partitionBy("pack_id", "topic").orderBy("place"))).where(F.col("n") <= each)
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", claim_line(140).alias("t")))), lambda x: x.t), "<br>")
+    g = r.groupBy("pack_id", "topic").agg(F.min("place").alias("at"), line.alias("points"))
+    g = g.withColumn("k", F.row_number().over(Window.partitionBy("pack_id").orderBy("at"))).where(F.col("k") <= topics)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("| "), "topic", F.lit(" | "), "points", F.lit(" |")).alias("t")))), lambda x: x.t)
+    return g.groupBy("pack_id").agg(F.concat(F.lit("| Topic | Evidence-backed points |\n|---|---|\n"), F.array_join(lines, "\n")).alias("body"))
+
+
+def synthesize_answers(queries: DataFrame, claims: DataFrame, most: int | None = None) -> DataFrame:
+    """``pack_id, status, mode, markdown, citations, row_urls, confidence, supported, weak`` for ``queries(pack_id, query, use_case)``.
+
+    ``claims`` are kept, verified ones. The best claims of a pack are printed in the layout of the query's mode: at most ``most``
+    (14 for comparisons and 10 for others, by default), so a pack's answer is one row of bounded size. Packs without claims have the status
+    insufficient_evidence.
+    """
+    q = queries.withColumn("mode", answer_mode(F.col("query"), F.col("use_case")))
+    limit = F.lit(most) if most else F.when(F.col("mode") == "comparison", 14).otherwise(10)
+    rows = answer_evidence(q.drop("use_case"), claims, most or 14).where(F.col("place") <= limit)
+    cites = citations(rows, "place")
+    rows = rows.join(cites.select("pack_id", "url", "id"), ["pack_id", "url"], "left")
+    in_order = lambda t: F.transform(F.array_sort(F.collect_list(F.struct("place", t.alias("t")))), lambda x: x.t)
+    note = F.concat(F.col("status"), F.lit(" evidence from "), F.col("title"), F.when(F.col("section") != "", F.concat(F.lit(', section "'), "section", F.lit('"'))).otherwise(""), F.lit(': "'), shorten(F.col("quote"), 220), F.lit('"'))
+    of = lambda n, mode: F.when(F.col("mode") == mode, claim_line(n))
+    line = F.coalesce(of(260, "comparison"), of(280, "how_to"), of(260, "research_summary"), claim_line(320))
+    g = rows.groupBy("pack_id", "mode").agg(
+        in_order(line).alias("lines"), in_order(note).alias("notes"), in_order(F.col("url")).alias("row_urls"), F.count_if(F.col("status") == "supported").alias("supported"), F.count_if(F.col("status") == "weak").alias("weak")
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("id", "title", "url"))), lambda c: c)
+    g = g.join(cites.groupBy("pack_id").agg(listed.alias("citations")), "pack_id").join(answer_confidence(rows), "pack_id").join(topic_table(rows), "pack_id")
+    answered = F.col("supported") > 0
+    intro = F.coalesce(*[F.when(F.col("mode") == m, F.when(answered, a).otherwise(b)) for m, (a, b) in K.INTROS.items()])
+    intro = F.when((F.col("mode") == "general") & answered, F.format_string("Based on %d supported claim(s) from %d source(s), here is the grounded answer.", "supported", F.size("citations"))).otherwise(intro)
+    numbered = lambda c, n: F.array_join(F.transform(F.slice(c, 1, n), lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")
+    bullets = F.array_join(F.transform(F.slice("lines", 1, 6), lambda t: F.concat(F.lit("- "), t)), "\n")
+    part = lambda head, body: F.concat(F.lit(f"## {head}\n"), body)
+    middle = (
+        F.when(F.col("mode") == "comparison", F.concat_ws("\n", part("Comparison table", F.col("body")), part("Key takeaways", numbered("lines", 5))))
+        .when(F.col("mode") == "how_to", F.concat_ws("\n", part("Steps / implementation notes", numbered("lines", 8)), part("Things to verify", F.lit("\n".join(K.THINGS_TO_VERIFY)))))
+        .when(F.col("mode") == "research_summary", part("Main points", bullets))
+        .otherwise(numbered("lines", 10))
+    )
+    sources = F.array_join(F.transform("citations", lambda c: F.concat(F.lit("["), c.id.cast("string"), F.lit("] "), c.title, F.lit(" — "), c.url)), "\n")
+    markdown = F.concat_ws("\n", part("Answer", intro), middle, part("Evidence notes", numbered("notes", 6)), part("Sources", sources))
+    made = g.select("pack_id", F.when(answered, "answered").otherwise("partial").alias("status"), markdown.alias("markdown"), "citations", "row_urls", "confidence", "supported", "weak")
+    none = "## Answer\n\nI do not have enough verified evidence to answer this confidently.\n\n## Evidence gaps\n\n- No supported or weak claim-level evidence was available."
+    out = q.select("pack_id", "mode").join(made, "pack_id", "left")
+    filled = {"status": F.lit("insufficient_evidence"), "markdown": F.lit(none), "citations": F.array().cast(made.schema["citations"].dataType), "row_urls": F.array().cast("array<string>"), "confidence": F.lit(0.0), "supported": F.lit(0), "weak": F.lit(0)}
+    return out.select("pack_id", "mode", *[F.coalesce(c, x).alias(c) for c, x in filled.items()])

@@ -80,7 +80,7 @@ def links_of_pages(spark: SparkSession, d: str) -> DataFrame:
 def query_features(spark: SparkSession, d: str) -> DataFrame:
     """User turns, with a few words of the rules mixed in by turn, as questions."""
     add = "array('compare', 'latest pricing', 'oauth error fix', 'how to install sdk', 'version 2025', '')[pmod(conv_id, 6)]"
-    q = scan(spark, d, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"concat(substring(text, 1, 60), ' ', {add}) AS query")
+    q = scan(spark, d, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"concat(text, ' ', {add}) AS query")
     c = F.col("query")
     route = Q.provider_route(c)
     return q.select("conv_id", "turn", Q.infer_use_case(c).alias("use_case"), route["kind"].alias("route"), route["fresh"].alias("route_fresh"), Q.is_freshness_required(c).alias("fresh"), Q.needs_freshness_planner(c).alias("fresh_plan"), Q.answer_mode(c, Q.infer_use_case(c)).alias("mode"), F.size(Q.plan_subqueries(c)).cast("long").alias("n_subqueries"))
@@ -109,10 +109,9 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item's three longest words, searched in all documents."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 2))
-    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3), lambda x: x.w)
-    q = scan(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), longest.alias("tokens"))
+    """Each benchmark item as a question, with its first two words as a quoted phrase too, searched in all documents."""
+    q = scan(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.col("text"), F.lit(' "'), F.array_join(F.slice(F.split("text", " "), 1, 2), " "), F.lit('"')).alias("q"))
+    q = q.select("query_id", search.keyword_tokens(F.col("q"), K.STOPWORDS).alias("tokens"), text.quoted_phrases(F.col("q")).alias("phrases"))
     docs = scan(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat(F.lit("Document of "), "source").alias("title"), F.lit(None).cast("string").alias("url"), F.col("doc_id").alias("pos"))
     return search.keyword_search(q, docs, 5).select("query_id", F.col("place").cast("long").alias("place"), "chunk_id", F.col("score").cast("long").alias("score"))
 
@@ -126,7 +125,7 @@ def diverse_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked_sources(spark: SparkSession, d: str) -> DataFrame:
     """Pages as candidates for questions made of benchmark items."""
-    q = scan(spark, d, "benchmark").where("item_id % 5 = 0").selectExpr("item_id AS query_id", "concat(substring(text, 1, 40), array(' latest api', ' compare', ' error', ' guide')[pmod(item_id, 4)]) AS query")
+    q = scan(spark, d, "benchmark").selectExpr("item_id AS query_id", "concat(text, array(' latest api', ' compare', ' error', ' guide')[pmod(item_id, 4)]) AS query")
     c = scan(spark, d, "pages").selectExpr("page_id AS pos", "url", "concat('Page ', page_id) AS title", "CAST(NULL AS STRING) AS product", "CAST(NULL AS STRING) AS domain", f"{DEALT}[pmod(page_id, 6)] AS tier", "array('api') AS topics", "array('compare', 'guide') AS keywords", "'stored page' AS reason", "if(page_id % 3 = 0, 'registry', 'search') AS source", "timestamp'2024-01-01 00:00:00' - make_dt_interval(CAST(page_id % 1500 AS INT)) AS published_at")
     r = search.rank_sources(q, c, F.lit("2024-06-01 00:00:00").cast("timestamp"))
     return r.select("query_id", F.col("place").cast("long").alias("place"), F.col("pos").alias("page_id"), F.col("score").cast("long").alias("score"), "deferred")
@@ -158,10 +157,11 @@ def answer_confidences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_effects(spark: SparkSession, d: str) -> DataFrame:
-    """Pages scored by memories of every tenth page: quality or failure by turn."""
+    """Pages scored by memories of all sources of documents: quality, failure or fact by turn, on the pages' own hosts."""
     p = scan(spark, d, "pages")
-    m = p.where("page_id % 10 = 0").selectExpr("page_id AS id", "if(page_id % 20 = 0, 'source_quality', 'source_failure') AS kind", "0.5 + (page_id % 7) / 20 AS confidence", "array(url) AS source_urls")
-    out = memory.memory_deltas(p.selectExpr("page_id AS pos", "url"), m)
+    host = text.hostname(F.col("url"))
+    m = p.groupBy(host.alias("host")).agg(F.min("page_id").alias("id")).selectExpr("id", "array('source_quality', 'source_failure', 'durable_fact')[pmod(id, 3)] AS kind", "0.5 + (id % 7) / 20 AS confidence", "array(concat('https://', host, '/any')) AS source_urls", "array('Nowhere Else', concat('Part ', id % 5)) AS entities")
+    out = memory.memory_deltas(p.selectExpr("page_id AS pos", "url", "concat('A part ', page_id % 9, ' of many') AS title"), m)
     return out.select(F.col("pos").alias("page_id"), F.col("delta").cast("long").alias("delta"), F.size("matched").cast("long").alias("memories"))
 
 
@@ -223,23 +223,48 @@ c4 AS (SELECT *, row_number() OVER (PARTITION BY pos, lower(c) ORDER BY no) AS n
 c5 AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY no) AS k FROM c4 WHERE n = 1),
 claims AS (SELECT pack_id, url, tier, pos, no, c, {_CONF}::DOUBLE AS confidence FROM c5 WHERE k <= 30)
 """
-_ENT = r"\b[A-Z][A-Za-z0-9.+#-]*(?:\s+[A-Z][A-Za-z0-9.+#-]*){0,4}"
+#: Claims with the parts of their quality, and what verifies them.
+_SCORED_TAIL = """, n AS (SELECT *, len(regexp_split_to_array(c, '\\s+')) AS w, ({tech}) AS hits, len(regexp_extract_all(c, '\\b[A-Z][A-Za-z0-9.]*(?:\\s+[A-Z][A-Za-z0-9.]*){{0,3}}\\b')) AS found, {auth} AS authority,
+  len(list_distinct(list_filter(list_transform(regexp_extract_all(c, '{ent}'), lambda x: {trim}), lambda x: x <> ''))) AS named0,
+  len(list_filter(list_distinct(list_transform(regexp_extract_all(c, '{ent}'), lambda x: {trim})), lambda e: length(e) > 2)) AS named FROM claims),
+s AS (
+  SELECT *, least(30, CASE WHEN regexp_matches(c, '[0-9]') THEN 8 ELSE 0 END + CASE WHEN found >= 3 THEN 10 WHEN found = 2 THEN 7 WHEN found = 1 THEN 3 ELSE 0 END + CASE WHEN hits >= 3 THEN 7 WHEN hits = 2 THEN 4 WHEN hits = 1 THEN 2 ELSE 0 END + CASE WHEN length(c) >= 140 THEN 5 WHEN length(c) >= 90 THEN 3 ELSE 0 END) AS specificity,
+    CASE WHEN hits / w >= 0.15 THEN 20 WHEN hits / w >= 0.08 THEN 14 WHEN hits >= 3 THEN 10 WHEN hits = 2 THEN 6 WHEN hits = 1 THEN 3 ELSE 0 END AS domain_signal,
+    CASE WHEN least(10, named) / w >= 0.12 THEN 10 WHEN least(10, named) / w >= 0.06 THEN 6 WHEN named >= 2 THEN 4 WHEN named = 1 THEN 2 ELSE 0 END AS density,
+    CASE WHEN confidence >= 0.75 OR (tier IN ('official_docs', 'trusted_docs') AND confidence >= 0.7) THEN 'supported' WHEN confidence >= 0.55 THEN 'weak' ELSE 'unsupported' END AS status FROM n),
+t AS (SELECT *, specificity + authority + 5 + domain_signal + density AS total, regexp_matches({low}, '^(click|read|learn|see|visit|go to|check out|find out|skip to)') AS nav FROM s),
+scored AS (SELECT *, CASE WHEN nav THEN least(total, 20) ELSE total END AS quality FROM t)"""
+_ENT = r"\b[A-Z][A-Za-z0-9.+#-]*(?:\s+[A-Z][A-Za-z0-9.+#-]*){0,4}\b"
+
+_SCORED = _CLAIMS + _SCORED_TAIL.format(tech=_TECH, auth=_AUTH, ent=_ENT, trim=TRIM.format("x"), low=TRIM.format("lower(c)"))
 
-_QUERY_TEXT = r"substring(text, 1, 60) || ' ' || ['compare', 'latest pricing', 'oauth error fix', 'how to install sdk', 'version 2025', ''][conv_id % 6 + 1]"
+_QUERY_TEXT = r"text || ' ' || ['compare', 'latest pricing', 'oauth error fix', 'how to install sdk', 'version 2025', ''][conv_id % 6 + 1]"
 _USE = f"CASE WHEN regexp_matches(q, '{rx(K.COMPARISON)}') THEN 'comparison' WHEN regexp_matches(q, '{rx(K.API_FACTS)}') THEN 'api_facts' WHEN regexp_matches(q, '{rx(K.IMPLEMENTATION)}') THEN 'implementation_help' WHEN regexp_matches(q, '{rx(K.TUTORIAL)}') THEN 'tutorial' ELSE 'general_research' END"
 
 _STATUS = "CASE WHEN confidence >= 0.75 OR (tier IN ('official_docs', 'trusted_docs') AND confidence >= 0.7) THEN 'supported' WHEN confidence >= 0.55 THEN 'weak' ELSE 'unsupported' END"
 _TRUST = "CASE tier " + " ".join(f"WHEN '{t}' THEN {c}" for t, c in K.TIER_MEMORY_CONFIDENCE.items()) + " END"
 
+#: Links to follow, from the rules: absolute, no fragment or trailing slash, http(s), own host, none of seven parts.
+_LINKS = r"""
+WITH h AS (SELECT page_id, url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') AS origin, unnest(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda x: substring(x, 2, length(x) - 2))) AS href FROM pages),
+p AS (SELECT *, regexp_extract(substring(url, length(origin) + 1), '^[^?#]*') AS path FROM h WHERE href <> ''),
+f AS (SELECT page_id, origin, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-zA-Z]+:') || href WHEN starts_with(href, '/') THEN origin || href
+  WHEN starts_with(href, '?') OR starts_with(href, '#') THEN origin || path || href ELSE origin || regexp_replace(path, '/[^/]*\z', '') || '/' || href END AS link FROM p),
+b AS (SELECT DISTINCT page_id, regexp_replace(regexp_replace(link, '#.*', ''), '/+\z', '') AS link FROM f
+  WHERE regexp_matches(link, '^(?i)https?://') AND regexp_extract(link, '^[a-zA-Z]+://([^/?#]*)', 1) = regexp_extract(origin, '^[a-zA-Z]+://([^/?#]*)', 1)
+  AND len(list_filter(['/login', '/signin', '/signup', '/cart', '/checkout', 'utm_', 'mailto:'], lambda x: contains(lower(regexp_replace(regexp_replace(link, '#.*', ''), '/+\z', '')), x))) = 0)
+"""
+
 ORACLES: dict[str, str] = {
     "source_memories": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, url, count(*) AS claim_count, count(*) FILTER (status = 'supported') AS supported_count, round(least(0.95, max({_TRUST})::DOUBLE + least(count(*) FILTER (status = 'supported'), 5) * 0.01::DOUBLE), 4) AS confidence FROM s GROUP BY pack_id, url",
     "citations_of_sources": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, row_number() OVER (PARTITION BY pack_id ORDER BY min(pos)) AS id, url, tier, count(*) AS used_claims FROM s WHERE status <> 'unsupported' GROUP BY pack_id, url, tier",
     "answer_confidences": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, least(0.98, round(coalesce(avg(confidence) FILTER (status = 'supported'), avg(confidence)) * 0.8 + count(*) FILTER (status = 'supported') / count(*) * 0.2, 2)) AS confidence FROM s GROUP BY pack_id",
     "memory_effects": r"""
-WITH p AS (SELECT page_id, lower(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '')) AS host FROM pages),
-m AS (SELECT page_id AS id, host, page_id % 20 = 0 AS good, least(1.0, greatest(0.1, 0.5 + (page_id % 7) / 20)) AS c FROM p WHERE page_id % 10 = 0)
-SELECT p.page_id, sum(CASE WHEN good THEN floor(18 * c + 0.5) ELSE -floor(30 * c + 0.5) END)::BIGINT AS delta, count(*) AS memories
-FROM p JOIN m ON p.host = m.host OR ends_with(p.host, '.' || m.host) OR ends_with(m.host, '.' || p.host) GROUP BY p.page_id
+WITH p AS (SELECT page_id, lower(regexp_replace(regexp_extract(url, '://([^/?#:]*)', 1), '^www\.', '')) AS host, 'a part ' || page_id % 9 || ' of many' AS title FROM pages),
+m AS (SELECT min(page_id) AS id, host FROM p GROUP BY host),
+n AS (SELECT *, id % 3 AS kind, least(1.0, greatest(0.1, 0.5 + (id % 7) / 20)) AS c FROM m)
+SELECT p.page_id, sum(CASE kind WHEN 0 THEN floor(18 * c + 0.5) WHEN 1 THEN -floor(30 * c + 0.5) ELSE floor(5 * c + 0.5) END)::BIGINT AS delta, count(*) AS memories
+FROM p JOIN n ON CASE WHEN kind = 2 THEN contains(title, 'part ' || id % 5) ELSE p.host = n.host OR ends_with(p.host, '.' || n.host) OR ends_with(n.host, '.' || p.host) END GROUP BY p.page_id
 """,
     "repo_files": r"""
 WITH f AS (SELECT lower(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '')) AS repo, ['docs/', 'apps/api/', '', 'packages/'][page_id % 4 + 1] || regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1) || ['/index.ts', '.md', '.py', '.txt', '/package.json'][page_id % 5 + 1] AS path FROM pages),
@@ -250,22 +275,38 @@ SELECT repo, path, rank::BIGINT AS rank, place FROM (SELECT *, row_number() OVER
 """,
     "claims_extracted": _CLAIMS
     + rf"""SELECT pack_id, url, no::BIGINT AS no, sha256(c) AS claim_sha, round(confidence, 4) AS confidence, least(10, len(list_distinct(list_filter(list_transform(regexp_extract_all(c, '{_ENT}'), lambda x: {TRIM.format('x')}), lambda x: x <> ''))))::BIGINT AS n_entities FROM claims""",
-    "claims_scored": _CLAIMS
-    + rf""", n AS (SELECT *, len(regexp_split_to_array(c, '\s+')) AS w, ({_TECH}) AS hits, len(regexp_extract_all(c, '\b[A-Z][A-Za-z0-9.]*(?:\s+[A-Z][A-Za-z0-9.]*){{0,3}}')) AS found, {_AUTH} AS authority,
-  len(list_filter(list_distinct(list_transform(regexp_extract_all(c, '{_ENT}'), lambda x: {TRIM.format('x')})), lambda e: length(e) > 2)) AS named FROM claims),
+    "claims_scored": _SCORED
+    + rf""" SELECT tier, status, count(*) AS claims, sum(quality)::BIGINT AS total, sum(specificity)::BIGINT AS specificity, sum(domain_signal)::BIGINT AS domain_signal, count(*) FILTER (length({TRIM.format('lower(c)')}) < 60) AS too_short FROM scored GROUP BY tier, status""",
+    "evidence_by_source": _SCORED.replace("WITH p AS", "WITH RECURSIVE p AS", 1)
+    + rf""", ok AS (SELECT pack_id, row_number() OVER (PARTITION BY pack_id ORDER BY quality DESC, pos, no, url) AS k, url, tier, status, list_distinct(list_filter(regexp_split_to_array(lower(c), '\s+'), lambda w: length(w) > 2)) AS w FROM scored WHERE quality >= 40 AND named0 > 0),
+x AS MATERIALIZED (SELECT b.pack_id, b.k, list(a.k) AS near FROM ok a JOIN ok b ON a.pack_id = b.pack_id AND a.k < b.k
+  WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.7::DOUBLE GROUP BY ALL),
+r AS (
+  SELECT DISTINCT pack_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM ok
+  UNION ALL
+  SELECT r.pack_id, o.k, CASE WHEN list_has_any(coalesce(x.near, []), r.kept) THEN r.kept ELSE list_append(r.kept, o.k) END FROM r JOIN ok o ON o.pack_id = r.pack_id AND o.k = r.k + 1 LEFT JOIN x ON x.pack_id = o.pack_id AND x.k = o.k),
+f AS (SELECT pack_id, arg_max(kept, k) AS kept FROM r GROUP BY pack_id),
+g AS (SELECT ok.* FROM ok JOIN f USING (pack_id) WHERE list_contains(f.kept, ok.k)),
+n1 AS (SELECT pack_id, count(*) AS raw_claims, count(*) FILTER (NOT (quality >= 40 AND named0 > 0)) AS quality_rejected FROM scored GROUP BY pack_id),
+n2 AS (SELECT pack_id, count(*) AS kept_claims, count(DISTINCT url) AS unique_sources, count(DISTINCT url) FILTER (tier IN ('official_docs', 'trusted_docs')) AS official_sources, count(*) FILTER (status = 'supported') AS supported, count(*) FILTER (status = 'weak') AS weak, count(*) FILTER (status = 'unsupported') AS unsupported FROM g GROUP BY pack_id)
+SELECT n1.pack_id, raw_claims, coalesce(kept_claims, 0) AS kept_claims, quality_rejected, raw_claims - quality_rejected - coalesce(kept_claims, 0) AS duplicate_rejected, coalesce(unique_sources, 0) AS unique_sources, coalesce(official_sources, 0) AS official_sources, coalesce(supported, 0) AS supported, coalesce(weak, 0) AS weak, coalesce(unsupported, 0) AS unsupported
+FROM n1 LEFT JOIN n2 ON n1.pack_id IS NOT DISTINCT FROM n2.pack_id""",
+    "ranked_sources": rf"""
+WITH q AS (SELECT item_id AS query_id, text || [' latest api', ' compare', ' error', ' guide'][item_id % 4 + 1] AS q FROM benchmark),
+u AS (SELECT query_id, lower(q) AS low, {_USE} AS use_case, regexp_matches(q, '{rx(K.FRESH_QUERY)}') AS fresh FROM q),
+c AS (SELECT page_id, url, {DEALT_SQL}[page_id % 6 + 1] AS tier, page_id % 3 = 0 AS registry, (152 + page_id % 1500) / 365 AS age, regexp_matches('Page ' || page_id || ' ' || url || ' stored page compare guide', '{rx(K.DEPRECATED)}') AS old FROM pages),
+m(use_case, tier, points) AS (VALUES {", ".join(f"('{use}', '{t}', {n})" for t, ns in K.TIER_USE_CASE.items() for use, n in zip(K.USE_CASES, ns))}),
 s AS (
-  SELECT *, least(30, CASE WHEN regexp_matches(c, '[0-9]') THEN 8 ELSE 0 END + CASE WHEN found >= 3 THEN 10 WHEN found = 2 THEN 7 WHEN found = 1 THEN 3 ELSE 0 END + CASE WHEN hits >= 3 THEN 7 WHEN hits = 2 THEN 4 WHEN hits = 1 THEN 2 ELSE 0 END + CASE WHEN length(c) >= 140 THEN 5 WHEN length(c) >= 90 THEN 3 ELSE 0 END) AS specificity,
-    CASE WHEN hits / w >= 0.15 THEN 20 WHEN hits / w >= 0.08 THEN 14 WHEN hits >= 3 THEN 10 WHEN hits = 2 THEN 6 WHEN hits = 1 THEN 3 ELSE 0 END AS domain_signal,
-    CASE WHEN least(10, named) / w >= 0.12 THEN 10 WHEN least(10, named) / w >= 0.06 THEN 6 WHEN named >= 2 THEN 4 WHEN named = 1 THEN 2 ELSE 0 END AS density,
-    CASE WHEN confidence >= 0.75 OR (tier IN ('official_docs', 'trusted_docs') AND confidence >= 0.7) THEN 'supported' WHEN confidence >= 0.55 THEN 'weak' ELSE 'unsupported' END AS status FROM n),
-t AS (SELECT *, specificity + authority + 5 + domain_signal + density AS total, regexp_matches({TRIM.format('lower(c)')}, '^(click|read|learn|see|visit|go to|check out|find out|skip to)') AS nav FROM s)
-SELECT tier, status, count(*) AS claims, sum(CASE WHEN nav THEN least(total, 20) ELSE total END)::BIGINT AS total, sum(specificity)::BIGINT AS specificity, sum(domain_signal)::BIGINT AS domain_signal, count(*) FILTER (length({TRIM.format('lower(c)')}) < 60) AS too_short FROM t GROUP BY tier, status""",
-    "links_of_pages": r"""
-WITH h AS (SELECT page_id, url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') AS origin, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages),
-f AS (SELECT page_id, origin, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN starts_with(href, '/') THEN origin || href ELSE origin || regexp_replace(substring(regexp_replace(url, '[?#].*', ''), length(origin) + 1), '/[^/]*\z', '') || '/' || href END AS link FROM h),
-b AS (SELECT DISTINCT page_id, origin, regexp_replace(regexp_replace(link, '#.*', ''), '/+\z', '') AS link FROM f)
-SELECT page_id, count(*) AS links, min(link) AS first_link FROM b WHERE link <> '' AND lower(regexp_extract(link, '^[a-zA-Z]+://[^/?#]*')) = lower(origin) GROUP BY page_id
+  SELECT query_id, page_id, url, points + 25 * (contains(low, 'compare')::INT + contains(low, 'guide')::INT) + 15 * contains(low, 'api')::INT + 10 * registry::INT - 24 * old::INT
+    + CASE WHEN age <= 0.75::DOUBLE THEN CASE WHEN fresh THEN 18 ELSE 6 END WHEN age <= 2 THEN CASE WHEN fresh THEN 10 ELSE 3 END WHEN fresh THEN CASE WHEN tier = 'official_docs' THEN -8 ELSE -18 END ELSE 0 END AS score
+  FROM u, c JOIN m USING (tier) WHERE m.use_case = u.use_case),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(regexp_replace(url, '#.*', ''), '/(\?|$)', '\1') ORDER BY score DESC, page_id) AS n FROM s WHERE score >= 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank, lower(regexp_replace(regexp_extract(url, '://([^/?#:]*)', 1), '^www\.', '')) AS host FROM k WHERE n = 1),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, host ORDER BY rank) > 2 AS deferred FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY deferred, rank) AS place FROM d)
+SELECT query_id, place, page_id, score::BIGINT AS score, deferred FROM o WHERE place <= 10
 """,
+    "links_of_pages": _LINKS + "SELECT page_id, count(*) AS links, min(link) AS first_link FROM b GROUP BY page_id",
     "page_quality_scores": _FEATURES + "SELECT * FROM q",
     "quality_by_label": _FEATURES + "SELECT quality, count(*) AS documents, round(avg(score), 6) AS mean_score, count(*) FILTER (status = 'reject') AS rejected FROM q JOIN labels USING (doc_id) GROUP BY quality",
     "chunked": rf"""
@@ -284,7 +325,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_i
 """,
     "content_hashes": rf"""
 WITH n AS (SELECT doc_id, text, lower({TRIM.format(r"regexp_replace(text, '\s+', ' ', 'g')")}) AS s, {TRIM.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS one FROM documents),
-h AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) & 4294967295) END AS h FROM n),
+h AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE list_reduce(list_prepend(0::BIGINT, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + (unicode(c) - 65536)::BIGINT // 1024, 56320 + (unicode(c) - 65536)::BIGINT % 1024] END))), lambda a, c: (a * 31 + c) & 4294967295) END AS h FROM n),
 a AS (SELECT *, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS v FROM h)
 SELECT doc_id, lpad(list_reduce(list_prepend('', list_transform(range(7), lambda k: substring('0123456789abcdefghijklmnopqrstuvwxyz', ((v // (36 ** (6 - k))::BIGINT) % 36 + 1)::INT, 1))), lambda x, y: x || y), 7, '0') AS rolling,
   sha256(text) AS sha256, ceil(length(text) / 4)::BIGINT AS tokens,
@@ -316,14 +357,19 @@ SELECT job_id, status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, transiti
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
 SELECT query_id, place, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) WHERE place <= 5
 """,
-    "keyword_hits": r"""
-WITH w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark),
-t AS (SELECT item_id, w FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS n FROM w WHERE length(w) >= 2) WHERE n <= 3),
-d AS (SELECT doc_id, lower(text) AS t, 'document of ' || source AS h FROM documents),
-s AS (SELECT item_id, doc_id, sum(8 * contains(h, w)::INT + 2 * contains(t, w)::INT) AS score FROM t, d GROUP BY item_id, doc_id),
-n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) AS n FROM s WHERE score > 0),
-p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS place FROM n WHERE n <= 40)
-SELECT item_id AS query_id, place, doc_id AS chunk_id, score::BIGINT AS score FROM p WHERE place <= 5
+    "keyword_hits": rf"""
+WITH q AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS p, text FROM benchmark),
+c AS (SELECT item_id, lower(p) AS phrase, {TRIM.format('lower(p)')} AS p, list_filter(regexp_split_to_array(regexp_replace(lower(p), '[^a-z0-9.+#\s-]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2) AS a,
+  list_filter(regexp_split_to_array(regexp_replace(lower(text || ' "' || p || '"'), '[^a-z0-9.+#\s-]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2 AND NOT list_contains({K.STOPWORDS}, t)) AS b FROM q),
+l AS (SELECT item_id, p, list_concat(a, b) AS ts FROM c),
+u AS (SELECT item_id, p, unnest(ts) AS w, unnest(range(len(ts))) AS i FROM l),
+o AS (SELECT item_id, p, w, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM u GROUP BY item_id, p, w),
+t AS (SELECT item_id, w, 8 AS ph, 2 AS pt, 1 AS token FROM o WHERE n <= 12 UNION ALL SELECT DISTINCT item_id, p, 25, 8, 0 FROM o WHERE p <> ''),
+d AS (SELECT doc_id, lower(text) AS t, coalesce('document of ' || lower(source), '') AS h FROM documents),
+s AS (SELECT item_id, doc_id, sum(ph * contains(h, w)::INT + pt * contains(t, w)::INT) AS score, max(token) AS hit FROM t JOIN d ON contains(h, w) OR contains(t, w) GROUP BY item_id, doc_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) AS n FROM s WHERE hit = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS place FROM n WHERE n <= 40)
+SELECT item_id AS query_id, place, doc_id AS chunk_id, score::BIGINT AS score FROM r WHERE place <= 5
 """,
     "diverse_pages": r"""
 WITH p AS (SELECT page_id, lower(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '')) AS host, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS lang FROM pages),
