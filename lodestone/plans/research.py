@@ -52,7 +52,7 @@ def answer_checks(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("critic")
     a = a.withColumn("critic", checks.heuristic_critic(F.col("query"), F.col("answer"), F.col("required"), F.col("called"), F.col("results")))
     answer = F.col("answer")
-    return a.select("doc_id", checks.numeric_dump(answer).alias("dump"), checks.generic_or_raw(answer).alias("raw"), checks.bad_answer(answer).alias("bad"), F.round(c["score"], 6).alias("score"), c["passed"].alias("passed"), F.round(checks.coding_override(F.col("query"), answer, c), 6).alias("coding_score"), checks.final_gate(F.when(F.col("doc_id") % 6 == 0, "Done ").otherwise(answer), F.col("required"), F.col("called")).alias("gate"))
+    return a.select("doc_id", checks.numeric_dump(answer).alias("dump"), checks.generic_or_raw(answer).alias("raw"), checks.bad_answer(answer).alias("bad"), F.round(c["score"], 9).alias("score"), c["passed"].alias("passed"), F.round(checks.coding_override(F.col("query"), answer, c), 9).alias("coding_score"), checks.final_gate(F.when(F.col("doc_id") % 6 == 0, "Done ").otherwise(answer), F.col("required"), F.col("called")).alias("gate"))
 
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
@@ -327,7 +327,7 @@ m AS (SELECT *, (0.7::DOUBLE + least(1.0, 0.45::DOUBLE + least(1.0, length(a) /
 c AS (SELECT *, CASE WHEN generic THEN 0.15 WHEN missing THEN 0.25 WHEN sources AND results = 0 THEN 0.35 ELSE mean END AS score, NOT generic AND NOT missing AND NOT (sources AND results = 0) AND mean >= 0.65::DOUBLE AS passed FROM m)
 SELECT doc_id, dump, t = '' OR lower(t) IN ({", ".join(f"'{x}'" for x in K.STOCK_ANSWERS)}) OR {_any('lower(t)', K.PLACEHOLDERS)} OR {_any('t', K.RAW_MARKERS)} OR dump AS raw,
   len(regexp_extract_all(low, '\bvaries\b')) >= 3 OR {_any('low', K.WEAK_MENTIONS)} OR {_any('low', K.EMPTY_CELLS)} OR (regexp_matches(a, '\b[0-9]{{4,}}\b') AND regexp_matches(low, '\b(?:api|version|endpoint)\b')) OR {_any('low', K.DUMP_KEYS)} OR (contains(low, '"type"') AND contains(low, '"output"')) OR dump AS bad,
-  round(score::DOUBLE, 6) AS score, passed, round((CASE WHEN passed AND {_any('q', K.CODING_TASK)} AND NOT generic AND (contains(a, '```') OR regexp_matches(a, '\b(?:def|function)\s+[A-Za-z0-9_]+\s*\(|\bclass\s+[A-Za-z0-9_]+') OR {_any('low', ["time complexity", "space complexity", "while ", "return "])}) THEN greatest(score, 0.82) ELSE score END)::DOUBLE, 6) AS coding_score,
+  round(score::DOUBLE, 9) AS score, passed, round((CASE WHEN passed AND {_any('q', K.CODING_TASK)} AND NOT generic AND (contains(a, '```') OR regexp_matches(a, '\b(?:def|function)\s+[A-Za-z0-9_]+\s*\(|\bclass\s+[A-Za-z0-9_]+') OR {_any('low', ["time complexity", "space complexity", "while ", "return "])}) THEN greatest(score, 0.82) ELSE score END)::DOUBLE, 9) AS coding_score,
   CASE WHEN missing THEN 'missing_tools' WHEN doc_id % 6 = 0 OR lower(t) IN ({", ".join(f"'{x}'" for x in K.EMPTY_FINALS)}) THEN 'empty' END AS gate FROM c
 """,
     "sections_of_documents": rf"""
