@@ -1,10 +1,11 @@
 """Substring dedup (operator 1): repeats of at least 20 words, by prefix-partitioned suffix trees.
 
 A suffix starts at every word. Those that may repeat are dealt to groups by a variable-length prefix (1, 2, 4, 8, 16 or 20
-words, as short as its share of all suffixes allows), each group the size of a task's memory. In a group the suffixes
-are sorted into the tree's order down to depth 20, where a node with two or more leaves is a repeat; all but its first
-leaf's words are removed. Neighbouring repeats of a document merge to maximal ones. Nodes are told apart by a 128-bit
-fingerprint of their path, as the words themselves would not fit the disk budget.
+words, as short as its share of all suffixes allows). The number of groups follows from the size of the texts, so that each
+fits a task's memory; a task works them off one after another. In a group the suffixes that share their first 20 words
+stand together: a node of depth 20 with two or more leaves is a repeat; all but its first leaf's words are removed.
+Neighbouring repeats of a document merge to maximal ones. Nodes are told apart, and ordered, by a 128-bit fingerprint of
+their path, as the words themselves would not fit the disk budget; nothing needs the order of the words.
 
 Which suffixes may repeat: of the 8-word grams in a 20-word window, the one of the smallest hash is the same wherever the
 window occurs. Windows whose smallest gram occurs at one place only are unique, and most are.
@@ -28,6 +29,8 @@ GRAM = 8
 LEVELS = (1, 2, 4, 8, 16, 20)
 #: Words that are worked on at once.
 CHUNK = 250_000
+#: Characters of text for each group of suffixes: some 16 MB of suffixes, if all may repeat.
+GROUP = 4_000_000
 U64 = np.uint64
 MAX = U64(2**64 - 1)
 
@@ -178,24 +181,42 @@ def to_documents(ids: np.ndarray, none: np.ndarray, xs: np.ndarray, pos: np.ndar
     return out
 
 
+def groups(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[tuple[pa.RecordBatch | None, list[bytes]]]:
+    """From batches in order of the bucket: the rows of other kinds as they come, and the packed values of each bucket's rows of ``kind``."""
+    now, blobs = None, []
+    for b in batches:
+        kinds = b.column("kind").to_numpy()
+        if (kinds != kind).any():
+            yield b.filter(pa.array(kinds != kind)), []
+        mine = b.filter(pa.array(kinds == kind))
+        for bucket, data in zip(mine.column("bucket").to_pylist(), mine.column("data").to_pylist()):
+            if bucket != now and blobs:
+                yield None, blobs
+                blobs = []
+            now = bucket
+            blobs.append(data)
+    if blobs:
+        yield None, blobs
+
+
+def dealt(rows: DataFrame, n_parts: int) -> DataFrame:
+    """Rows by bucket, each bucket's together."""
+    return rows.repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+
+
 def gathered(rows: DataFrame, n_parts: int) -> DataFrame:
     """Rows of kind 2, packed by bucket, to one row for each document; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
-        for b in batches:
-            kind = b.column("kind").to_numpy()
-            blobs += b.column("data").filter(pa.array(kind == 2)).to_pylist()
-            yield b.filter(pa.array(kind != 2))
-        out = []
-        for i, x, places in by_document(*unpack(blobs, [np.uint32])):
-            out.append((0, 2, i, x, places, None))
-            if len(out) == 10_000:
-                yield batch(out)
-                out = []
-        yield batch(out)
+        for other, blobs in groups(batches, 2):
+            if other is not None:
+                yield other
+                continue
+            out = [(0, 2, i, x, places, None) for i, x, places in by_document(*unpack(blobs, [np.uint32]))]
+            for k in range(0, len(out), 10_000):
+                yield batch(out[k : k + 10_000])
 
-    return rows.repartition(n_parts, "bucket").mapInArrow(run, SCHEMA)
+    return dealt(rows, n_parts).mapInArrow(run, SCHEMA)
 
 
 def by_document(ids: np.ndarray, none: np.ndarray, xs: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
@@ -225,7 +246,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 4 * n_parts
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_buckets = max(4 * n_parts, -(-chars // GROUP))
     bins = min(2**20, max(4096, 1 << (8 * n_buckets).bit_length()))
     levels = [n for n in LEVELS if n < window] + [window]
 
@@ -258,23 +280,24 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         yield batch([(k, 1, None, None, None, n.tolist()) for k, n in enumerate(counts)])
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, counts = [], {}
-        for b in batches:
-            kind = b.column("kind").to_numpy()
-            blobs += b.column("data").filter(pa.array(kind == 0)).to_pylist()
-            part = b.filter(pa.array(kind == 1))
-            for k, n in zip(part.column("bucket").to_pylist(), part.column("counts").to_pylist()):
-                counts[k] = counts.get(k, 0) + np.array(n, np.int64)
-            yield b.filter(pa.array(kind == 2))
+        counts: dict[int, np.ndarray] = {}
+        for other, blobs in groups(batches, 0):
+            if other is not None:
+                part = other.filter(pa.array(other.column("kind").to_numpy() == 1))
+                for k, n in zip(part.column("bucket").to_pylist(), part.column("counts").to_pylist()):
+                    counts[k] = counts.get(k, 0) + np.array(n, np.int64)
+                yield other.filter(pa.array(other.column("kind").to_numpy() == 2))
+                continue
+            ids, none, xs, g, pos = unpack(blobs, [U64, np.uint32])
+            order = np.argsort(g, kind="stable")
+            same = np.diff(g[order]) == 0
+            twice = order[np.r_[same, False] | np.r_[False, same]] if len(g) else order
+            if len(twice):
+                yield batch(to_documents(ids[twice], none[twice], xs[twice], pos[twice], n_buckets))
         yield batch([(k, 1, None, None, None, n.tolist()) for k, n in counts.items()])
-        ids, none, xs, g, pos = unpack(blobs, [U64, np.uint32])
-        order = np.argsort(g, kind="stable")
-        same = np.diff(g[order]) == 0
-        twice = order[np.r_[same, False] | np.r_[False, same]] if len(g) else order
-        yield batch(to_documents(ids[twice], none[twice], xs[twice], pos[twice], n_buckets))
 
     # counts and candidate places are written: what follows reads them, whatever executors are lost
-    first = written(gathered(docs.mapInArrow(grams, SCHEMA).repartition(n_parts, "bucket").mapInArrow(hot, SCHEMA), n_parts))
+    first = written(gathered(dealt(docs.mapInArrow(grams, SCHEMA), n_parts).mapInArrow(hot, SCHEMA), n_parts))
     heavy = np.zeros((len(levels), bins), bool)
     for r in first.where("kind = 1").select("bucket", "counts").collect():  # a row of `bins` numbers for each level
         n = np.array(r.counts)
@@ -317,23 +340,20 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             yield batch(rows)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
-        for b in batches:
-            kind = b.column("kind").to_numpy()
-            blobs += [x for x in b.column("data").filter(pa.array(kind == 0)).to_pylist()]
-            yield b.filter(pa.array(kind != 0))
-        ids, none, xs, f1, f2, pos = unpack(blobs, [U64, U64, np.uint32])
-        del blobs
-        order = np.lexsort((pos, xs, ids, none, f2, f1))
-        f1, f2, ids, none, xs, pos = (a[order] for a in (f1, f2, ids, none, xs, pos))
-        if len(f1):
+        for other, blobs in groups(batches, 0):
+            if other is not None:
+                yield other
+                continue
+            ids, none, xs, f1, f2, pos = unpack(blobs, [U64, U64, np.uint32])
+            order = np.lexsort((pos, xs, ids, none, f2, f1))
+            f1, f2, ids, none, xs, pos = (a[order] for a in (f1, f2, ids, none, xs, pos))
             node = np.r_[True, (np.diff(f1) != 0) | (np.diff(f2) != 0)]
             lead = np.flatnonzero(node)[np.cumsum(node) - 1]
             later = (ids != ids[lead]) | (none != none[lead]) | (xs != xs[lead]) | (pos != pos[lead])
-            ids, none, xs, pos = ids[later], none[later], xs[later], pos[later]
-        yield batch(to_documents(ids, none, xs, pos, n_buckets))
+            if later.any():
+                yield batch(to_documents(ids[later], none[later], xs[later], pos[later], n_buckets))
 
-    later = found.mapInArrow(suffixes, SCHEMA).repartition(n_parts, "bucket").mapInArrow(trees, SCHEMA)
+    later = dealt(found.mapInArrow(suffixes, SCHEMA), n_parts).mapInArrow(trees, SCHEMA)
     return gathered(later, n_parts).select("doc_id", "x", F.col("data").alias("starts"))
 
 
