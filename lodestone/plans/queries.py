@@ -255,6 +255,20 @@ b AS (SELECT DISTINCT page_id, regexp_replace(regexp_replace(link, '#.*', ''), '
   AND len(list_filter(['/login', '/signin', '/signup', '/cart', '/checkout', 'utm_', 'mailto:'], lambda x: contains(lower(regexp_replace(regexp_replace(link, '#.*', ''), '/+\z', '')), x))) = 0)
 """
 
+#: Chunks of a text, window by window.
+_CHUNKS = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {TRIM.format("regexp_replace(@text@, chr(10) || '{4,}', chr(10) || chr(10) || chr(10), 'g')")} AS t FROM documents),
+w AS (
+  SELECT doc_id, t, 0 AS s, least(700, length(t)) AS hard FROM d WHERE length(t) > 0
+  UNION ALL
+  SELECT doc_id, t, greatest(0, e - 200), least(greatest(0, e - 200) + 700, length(t)) FROM (
+    SELECT doc_id, t, CASE WHEN b > 0 THEN s + 385 + length(x) - b ELSE hard END AS e FROM (
+      SELECT *, instr(reverse(x), chr(10) || chr(10)) AS b FROM (SELECT doc_id, t, s, hard, substring(t, s + 387, hard - s - 384) AS x FROM w))) WHERE e < length(t)),
+v AS (
+  SELECT doc_id, s, CASE WHEN b > 0 THEN s + 385 + length(x) - b ELSE hard END AS e, t FROM (
+    SELECT *, instr(reverse(x), chr(10) || chr(10)) AS b FROM (SELECT doc_id, t, s, hard, substring(t, s + 387, hard - s - 384) AS x FROM w))),
+c AS (SELECT doc_id, s, e, {TRIM.format('substring(t, s + 1, e - s)')} AS chunk FROM v)"""
+
 ORACLES: dict[str, str] = {
     "source_memories": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, url, count(*) AS claim_count, count(*) FILTER (status = 'supported') AS supported_count, round(least(0.95, max({_TRUST})::DOUBLE + least(count(*) FILTER (status = 'supported'), 5) * 0.01::DOUBLE), 4) AS confidence FROM s GROUP BY pack_id, url",
     "citations_of_sources": _CLAIMS + f", s AS (SELECT *, {_STATUS} AS status FROM claims) SELECT pack_id, row_number() OVER (PARTITION BY pack_id ORDER BY min(pos)) AS id, url, tier, count(*) AS used_claims FROM s WHERE status <> 'unsupported' GROUP BY pack_id, url, tier",
@@ -309,18 +323,7 @@ SELECT query_id, place, page_id, score::BIGINT AS score, deferred FROM o WHERE p
     "links_of_pages": _LINKS + "SELECT page_id, count(*) AS links, min(link) AS first_link FROM b GROUP BY page_id",
     "page_quality_scores": _FEATURES + "SELECT * FROM q",
     "quality_by_label": _FEATURES + "SELECT quality, count(*) AS documents, round(avg(score), 6) AS mean_score, count(*) FILTER (status = 'reject') AS rejected FROM q JOIN labels USING (doc_id) GROUP BY quality",
-    "chunked": rf"""
-WITH RECURSIVE d AS (SELECT doc_id, {TRIM.format("regexp_replace(replace(text, chr(10), chr(10) || chr(10)), chr(10) || '{4,}', chr(10) || chr(10) || chr(10), 'g')")} AS t FROM documents),
-w AS (
-  SELECT doc_id, t, 0 AS s, least(700, length(t)) AS hard FROM d WHERE length(t) > 0
-  UNION ALL
-  SELECT doc_id, t, greatest(0, e - 200), least(greatest(0, e - 200) + 700, length(t)) FROM (
-    SELECT doc_id, t, CASE WHEN b > 0 THEN s + 385 + length(x) - b ELSE hard END AS e FROM (
-      SELECT *, instr(reverse(x), chr(10) || chr(10)) AS b FROM (SELECT doc_id, t, s, hard, substring(t, s + 387, hard - s - 384) AS x FROM w))) WHERE e < length(t)),
-v AS (
-  SELECT doc_id, s, CASE WHEN b > 0 THEN s + 385 + length(x) - b ELSE hard END AS e, t FROM (
-    SELECT *, instr(reverse(x), chr(10) || chr(10)) AS b FROM (SELECT doc_id, t, s, hard, substring(t, s + 387, hard - s - 384) AS x FROM w))),
-c AS (SELECT doc_id, s, e, {TRIM.format('substring(t, s + 1, e - s)')} AS chunk FROM v)
+    "chunked": _CHUNKS.replace("@text@", "replace(text, chr(10), chr(10) || chr(10))") + """
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, s::BIGINT AS start_char, e::BIGINT AS end_char, md5(chunk) AS chunk_md5 FROM c WHERE chunk <> ''
 """,
     "content_hashes": rf"""

@@ -11,7 +11,7 @@ from lodestone import constants as K
 from lodestone.functions import checks, intents, scores, text
 from lodestone.functions import query as Q
 from lodestone.operators import answers, crawl, evidence, logs, memory, providers, repos, runs, search
-from lodestone.plans.queries import _CLAIMS, _ENT, _LINKS, _STATUS, _TRUST, _USE, DEALT, DEALT_SQL, TRIM, as_pages, rx, verified
+from lodestone.plans.queries import _CHUNKS, _CLAIMS, _ENT, _LINKS, _STATUS, _TRUST, _USE, DEALT, DEALT_SQL, TRIM, as_pages, rx, verified
 from lodestone.sources import tables
 from lodestone.sources.tables import scan
 
@@ -245,11 +245,27 @@ def kb_search(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", F.col("place").cast("long").alias("place"), "chunk_id", F.round("score", 6).alias("score"), "retrieval", "title", "url")
 
 
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Documents into their source's project, every third of which is stored and every sixth cut already."""
+    docs = scan(spark, d, "documents").where("text is not null")
+    key = [F.col("source").alias("project_id"), text.hash_text(F.col("text")).alias("content_hash")]
+    told, chunks = tables.ingest(docs.where("doc_id % 3 = 0").select(*key), docs.where("doc_id % 6 = 0").select(*key), docs.selectExpr("doc_id AS pos", "source AS project_id", "if(doc_id % 2 = 0, NULL, concat('Doc ', doc_id)) AS title", "if(doc_id % 4 = 0, NULL, concat('https://x.org/', doc_id)) AS url", "text AS markdown"))
+    n = tables.chunk_counts(told.withColumnRenamed("pos", "doc_id"), chunks.withColumnRenamed("pos", "doc_id"))
+    return n.join(chunks.groupBy(F.col("pos").alias("doc_id")).agg(F.md5(F.max_by("preview", "chunk_index")).alias("last_preview")), "doc_id", "left").select("doc_id", "title", "status", "chunks", "last_preview")
+
+
+def conversation_starts(spark: SparkSession, d: str) -> DataFrame:
+    """First user turns as jobs, every second without a conversation."""
+    t = scan(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    made, said = tables.conversation_turns(t.selectExpr("conv_id AS job_id", "if(conv_id % 2 = 0, concat('c', conv_id), NULL) AS conversation_id", "question"))
+    return said.join(made, "conversation_id", "left").select("conversation_id", "role", F.md5("content").alias("content_md5"), "title")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         question_intents, planned_subqueries, answer_checks, sections_of_documents, tiers_of_urls, fallback_claims, blocked_sources, memory_drafts, memories_found, answer_rows, facts_of_sources, retries, crawl_traces, page_budgets, crawled_sites,
-        repo_refs, word_overlaps, searched_candidates, provider_traces, merged_sources, last_outputs, sources_named, benchmark_passes, job_overview, host_graph, written_answers, kb_search,
+        repo_refs, word_overlaps, searched_candidates, provider_traces, merged_sources, last_outputs, sources_named, benchmark_passes, job_overview, host_graph, written_answers, kb_search, ingested, conversation_starts,
     )
 }
 
@@ -421,4 +437,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 z AS (SELECT * FROM near UNION ALL SELECT query_id, place, doc_id, score, 'keyword_fallback' FROM r WHERE place <= 3)
 SELECT query_id, place, chunk_id, round(z.score::DOUBLE, 6) AS score, retrieval, 'Document of ' || source AS title, CASE WHEN doc_id IS NOT NULL THEN 'https://x.org/' || doc_id END AS url FROM z LEFT JOIN documents ON doc_id = chunk_id
 """,
+    "ingested": _CHUNKS.replace("@text@", "text") + rf""",
+k AS (SELECT doc_id, source AS p, sha256(text) AS h, text FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY p, h) AS later, bool_or(doc_id % 3 = 0) OVER (PARTITION BY p, h) AS there, bool_or(doc_id % 6 = 0) OVER (PARTITION BY p, h) AS cut FROM k WHERE p IS NOT NULL),
+s AS (SELECT *, CASE WHEN cut OR later THEN 'deduped' WHEN there THEN 'backfilled' ELSE 'new' END AS status FROM f),
+n AS (SELECT doc_id, count(*) AS n, arg_max(chunk, s) AS last FROM c WHERE chunk <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 2 <> 0 THEN 'Doc ' || doc_id WHEN doc_id % 4 <> 0 THEN 'https://x.org/' || doc_id ELSE 'Untitled document' END AS title, status, CASE WHEN status = 'deduped' THEN 0 ELSE coalesce(n, 0) END AS chunks,
+  CASE WHEN status <> 'deduped' THEN md5(CASE WHEN length(last) <= 240 THEN last ELSE substring(last, 1, 240) || chr(10) || '...[truncated ' || (length(last) - 240) || ' chars]' END) END AS last_preview FROM s LEFT JOIN n USING (doc_id)
+""",
+    "conversation_starts": "WITH t AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT CASE WHEN conv_id % 2 = 0 THEN 'c' ELSE 'conv-' END || conv_id AS conversation_id, 'user' AS role, md5(q) AS content_md5, CASE WHEN conv_id % 2 <> 0 THEN substring(q, 1, 80) END AS title FROM t",
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as K
-from lodestone.functions.text import hash_text, trim_all
+from lodestone.functions.text import hash_text, preview, trim_all
+from lodestone.operators.evidence import chunk_text
 
 
 def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +29,45 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return new.withColumn("title", F.coalesce("title", "url", F.lit("Untitled document")))
 
 
+def ingest(stored: DataFrame, chunks: DataFrame, incoming: DataFrame, size: int = 700, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
+    """What becomes of ``incoming(pos, project_id, title, url, markdown)``, and the chunks to write.
+
+    ``stored(project_id, content_hash)`` and ``chunks(project_id, content_hash)`` are what is there. The first table is
+    ``pos, project_id, content_hash, title, status``: deduped (stored with chunks, or earlier in the batch), backfilled (stored without
+    chunks) or new. The second has the chunks of new and backfilled documents with start, end and a preview.
+    """
+    new = incoming.withColumn("content_hash", hash_text(F.col("markdown"))).withColumn("title", F.coalesce("title", "url", F.lit("Untitled document")))
+    key = ["project_id", "content_hash"]
+    first = new.groupBy(*key).agg(F.min("pos").alias("first"))
+    there = stored.select(*key).distinct().withColumn("there", F.lit(True))
+    cut = chunks.select(*key).distinct().withColumn("cut", F.lit(True))
+    s = new.join(first, key).join(there, key, "left").join(cut, key, "left")
+    status = F.when(F.col("cut") | (F.col("pos") > F.col("first")), "deduped").when(F.col("there"), "backfilled").otherwise("new")
+    s = s.withColumn("status", status)
+    made = chunk_text(s.where("status != 'deduped'"), "pos", "markdown", size, overlap).withColumn("preview", preview(F.col("chunk_text"), 240))
+    return s.select("pos", *key, "title", "status"), made
+
+
+def scan_memories(raw: DataFrame) -> DataFrame:
+    """``raw`` memories whose ``entities``, ``source_urls`` and ``metadata`` are JSON: arrays of text, none where it is no array; confidence .7 and no metadata by default."""
+    array = lambda c: F.coalesce(F.filter(F.from_json(c, "array<string>"), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    metadata = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return raw.withColumn("entities", array("entities")).withColumn("source_urls", array("source_urls")).withColumn("confidence", F.coalesce("confidence", F.lit(0.7))).withColumn("metadata", metadata)
+
+
+def chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``documents`` with the number of their ``chunks`` by ``doc_id``, newest first by ``pos``."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return documents.join(n, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+
+
+def conversation_turns(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations and first messages that ``jobs(job_id, conversation_id, question)`` need: those without one get one, named by the question's first 80 characters."""
+    j = jobs.withColumn("conv", F.coalesce("conversation_id", F.concat(F.lit("conv-"), F.col("job_id").cast("string"))))
+    made = j.where("conversation_id is null").select(F.col("conv").alias("conversation_id"), F.substring("question", 1, 80).alias("title"))
+    return made, j.select(F.col("conv").alias("conversation_id"), F.lit("user").alias("role"), F.col("question").alias("content"))
+
+
 def upsert_vectors(store: DataFrame, points: DataFrame) -> DataFrame:
     """``store`` and ``points`` (both id, vector, payload, version): the latest version of each id."""
     both = store.unionByName(points)
