@@ -105,3 +105,21 @@ THINGS_TO_VERIFY = ["- Check the linked official/trusted source before productio
 
 # Words that a search leaves out.
 STOPWORDS = ["the", "and", "for", "with", "from", "this", "that", "into", "about", "using", "uploaded", "document", "file", "answer", "sources", "source", "summarize", "summary", "key", "points", "please", "what", "does", "tell", "give", "show"]
+
+# Known documentation, all official: title, product, domain, address, topics, keywords, reason.
+SOURCE_REGISTRY = [
+    ("Meta Marketing API", "Meta Marketing API", "ads", "https://developers.facebook.com/docs/marketing-api/", ["ads", "api", "campaigns", "insights", "audiences"], ["meta", "facebook", "marketing api", "graph api", "ads api"], "Official Meta Marketing API documentation."),
+    ("Google Ads API", "Google Ads API", "ads", "https://developers.google.com/google-ads/api/docs/start", ["ads", "api", "campaigns", "reporting"], ["google ads", "google ads api", "google advertising"], "Official Google Ads API documentation."),
+    ("TikTok API for Business", "TikTok API for Business", "ads", "https://business-api.tiktok.com/portal/docs", ["ads", "api", "campaigns", "reporting"], ["tiktok", "tiktok ads", "tiktok business api"], "Official TikTok API for Business documentation."),
+    ("OpenAI API Docs", "OpenAI API", "ai", "https://platform.openai.com/docs", ["ai", "llm", "api", "models"], ["openai", "gpt", "openai api", "chatgpt api"], "Official OpenAI API documentation."),
+    ("Anthropic API Docs", "Anthropic Claude API", "ai", "https://docs.anthropic.com/", ["ai", "llm", "api", "claude"], ["anthropic", "claude", "claude api"], "Official Anthropic documentation."),
+    ("NVIDIA AI Endpoints", "NVIDIA AI Endpoints", "ai", "https://docs.api.nvidia.com/", ["ai", "llm", "embedding", "api"], ["nvidia", "nvidia ai", "nvidia api", "nvidia embeddings"], "Official NVIDIA AI API documentation."),
+    ("Qdrant Documentation", "Qdrant", "database", "https://qdrant.tech/documentation/", ["vector database", "retrieval", "search", "embeddings"], ["qdrant", "vector db", "vector database", "semantic search"], "Official Qdrant documentation."),
+    ("Supabase Documentation", "Supabase", "database", "https://supabase.com/docs", ["postgres", "database", "auth", "storage"], ["supabase", "postgres", "supabase auth", "supabase database"], "Official Supabase documentation."),
+    ("Prisma Documentation", "Prisma", "database", "https://www.prisma.io/docs", ["orm", "database", "postgres"], ["prisma", "orm", "prisma client", "prisma migrate"], "Official Prisma documentation."),
+    ("Next.js Documentation", "Next.js", "web", "https://nextjs.org/docs", ["nextjs", "react", "frontend", "app router"], ["nextjs", "next.js", "react app router"], "Official Next.js documentation."),
+    ("TanStack Query Documentation", "TanStack Query", "web", "https://tanstack.com/query/latest/docs/framework/react/overview", ["react", "query", "cache", "polling"], ["tanstack query", "react query", "polling", "cache"], "Official TanStack Query documentation."),
+    ("Fastify Documentation", "Fastify", "backend", "https://fastify.dev/docs/latest/", ["backend", "node", "api", "server"], ["fastify", "node api", "fastify server"], "Official Fastify documentation."),
+    ("Scrapling GitHub", "Scrapling", "scraping", "https://github.com/D4Vinci/Scrapling", ["scraping", "crawler", "html extraction"], ["scrapling", "scraper", "web scraping", "fetcher"], "Official Scrapling repository."),
+    ("Microsoft MarkItDown", "MarkItDown", "document-processing", "https://github.com/microsoft/markitdown", ["document conversion", "markdown", "pdf", "docx"], ["markitdown", "pdf to markdown", "docx to markdown"], "Official MarkItDown repository."),
+]

@@ -93,3 +93,10 @@ def normalize_search_results(raw: DataFrame) -> DataFrame:
 def route_budgets(spark: SparkSession) -> DataFrame:
     """``route, provider, max_results, enabled``."""
     return spark.createDataFrame([(r, p, *x) for r, of in K.ROUTE_BUDGETS.items() for p, x in of.items()], "route string, provider string, max_results int, enabled boolean")
+
+
+def source_registry(spark: SparkSession) -> DataFrame:
+    """The known documentation as candidates, in order of ``pos``."""
+    rows = [(k, title, product, domain, url, "official_docs", topics, keywords, reason, "registry") for k, (title, product, domain, url, topics, keywords, reason) in enumerate(K.SOURCE_REGISTRY)]
+    out = spark.createDataFrame(rows, "pos long, title string, product string, domain string, url string, tier string, topics array<string>, keywords array<string>, reason string, source string")
+    return out.withColumn("published_at", F.lit(None).cast("timestamp"))

@@ -90,6 +90,38 @@ def test_phrases_and_fallback_by_words(spark):
     assert got == [(1, 1, "semantic", "T1"), (1, 9, "semantic", None), (2, 3, "keyword_fallback", "T3"), (2, 2, "keyword_fallback", "T2")]
 
 
+def test_plans_of_resources(spark):
+    q = spark.createDataFrame([("a", "compare openai api and claude and nvidia"), ("b", "zzz")], "query_id string, query string")
+    registry = tables.source_registry(spark)
+    assert registry.count() == 14
+    found = spark.createDataFrame([(i, f"https://s{k}.org/x", "community", 100 + k) for i in "ab" for k in range(3)], "query_id string, url string, tier string, pos long")
+    found = found.selectExpr("query_id", "url", "'T' AS title", "CAST(NULL AS STRING) AS product", "CAST(NULL AS STRING) AS domain", "tier", "array('zzz') AS topics", "array('zzz') AS keywords", "'r' AS reason", "'search' AS source", "CAST(NULL AS TIMESTAMP) AS published_at", "pos")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    one = search.plan_resources(q, registry, found, now, 4).collect()
+    assert {r.strategy for r in one} == {"registry_first"} and len(one) == 8
+    top = [r.url for r in sorted(one, key=lambda r: r.place) if r.query_id == "a"]
+    assert set(top[:3]) == {"https://platform.openai.com/docs", "https://docs.anthropic.com/", "https://docs.api.nvidia.com/"}
+    little = registry.where("pos = 3").withColumn("tier", F.lit("media"))
+    two = {(r.query_id, r.strategy, r.url) for r in search.plan_resources(q, little, found, now, 2).collect()}
+    assert {(i, s) for i, s, _ in two} == {("a", "mixed"), ("b", "search_fallback")} and all("//s" in u for i, _, u in two if i == "b")
+    memories = spark.createDataFrame([("m", "source_failure", 1.0, ["https://platform.openai.com/docs"], ["x"])], "id string, kind string, confidence double, source_urls array<string>, entities array<string>")
+    score = {r.url: r.score for r in search.plan_resources(q, registry, found, now, 4).where("query_id = 'a'").collect()}
+    less = {r.url: r.score for r in search.plan_resources(q, registry, found, now, 4, memories).where("query_id = 'a'").collect()}
+    assert less["https://platform.openai.com/docs"] == score["https://platform.openai.com/docs"] - 30
+
+
+def test_stored_memories_and_ingest(spark):
+    m = spark.createDataFrame([("1", '["a", "b"]', "{}", None, '{"k": "v"}'), ("2", "no", None, 0.4, "[]")], "id string, entities string, source_urls string, confidence double, metadata string")
+    got = {r.id: (r.entities, r.source_urls, r.confidence) for r in tables.scan_memories(m).collect()}
+    assert got == {"1": (["a", "b"], [], 0.7), "2": ([], [], 0.4)}
+    rows = [(1, "p", None, None, "one"), (2, "p", "t", None, "one"), (3, "p", "t", None, "two"), (4, "p", "t", None, "three"), (5, "q", "t", None, "one")]
+    new = spark.createDataFrame(rows, "pos int, project_id string, title string, url string, markdown string")
+    key = new.select("project_id", F.sha2("markdown", 256).alias("content_hash"), "pos")
+    told, chunks = tables.ingest(key.where("pos in (3, 4)"), key.where("pos = 4"), new)
+    assert {r.pos: r.status for r in told.collect()} == {1: "new", 2: "deduped", 3: "backfilled", 4: "deduped", 5: "new"}
+    assert sorted(r.pos for r in chunks.collect()) == [1, 3, 5]
+
+
 def test_links(spark):
     base = "https://x.org/a/b?q"
     hrefs = ["c", "/d/", "//y.org/z", "?p=1", "#f", "HTTPS://x.org/e#g", "mailto:a@x.org", "/user/LOGIN/x", "p?utm_source=1", "//x.org/k"]
