@@ -50,3 +50,33 @@ def repo_stack(files: DataFrame) -> DataFrame:
     package = F.lower("path").endswith("package.json")
     found = [any_(F.col("path").startswith(p), n) for p, n in STACK_FOLDERS] + [any_(F.col("path").isin(p), n) for p, n in STACK_FILES] + [any_(package & F.col("text").contains(p), n) for p, n in STACK_PACKAGES]
     return files.groupBy("repo").agg(F.array_compact(F.array(*found)).alias("stack"))
+
+
+def clip(text: Column, most: Column | int) -> Column:
+    t = trim_all(F.regexp_replace(text, "\r\n", "\n"))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, F.lit(1), F.lit(most) if isinstance(most, int) else most), F.lit("\n...[truncated]")))
+
+
+def summarize_repos(files: DataFrame, most: int = 30) -> DataFrame:
+    """``repo, files, selected, stack, markdown`` of ``files(repo, path, text)``: the stack, key files, top folders and first lines of a repository.
+
+    At most ``most`` files of a repository are looked into, each clipped, so its summary is one row of bounded size.
+    """
+    picked = select_repo_files(files, most).withColumn("text", clip(F.coalesce("text", F.lit("")), F.when(F.lower("path").endswith(".json"), 2200).otherwise(3500)))
+    said = F.filter(F.transform(F.split("text", "\n"), trim_all), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
+    note = F.array_join(F.slice(said, 1, 3), " ")
+    line = F.concat(F.lit("- `"), "path", F.lit("`"))
+    in_order = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("place", x.alias("t")))), lambda s: s.t)
+    g = picked.groupBy("repo").agg(
+        F.count("*").alias("selected"), in_order(line).alias("lines"), in_order(F.split("path", "/")[0]).alias("tops"),
+        in_order(F.when(trim_all(F.col("text")) != "", F.concat(line, F.lit(": "), F.when(note != "", note).otherwise("File inspected.")))).alias("notes"),
+    )
+    g = g.join(files.groupBy("repo").agg(F.count("*").alias("files")), "repo").join(repo_stack(files), "repo")
+    parts = F.when(F.size("stack") > 0, F.concat(F.lit("Detected stack/components: "), F.array_join("stack", ", "), F.lit("."))).otherwise("Detected stack/components were not obvious from selected files.")
+    listed = lambda c, n: F.array_join(F.slice(c, 1, n), "\n")
+    tops = F.transform(F.array_distinct("tops"), lambda t: F.concat(F.lit("- `"), t, F.lit("`")))
+    markdown = F.concat_ws(
+        "\n", F.concat(F.lit("# "), "repo"), F.lit(""), F.lit("## What this repository appears to contain"), F.lit(""), parts, F.lit(""), F.lit("## Key files inspected"), F.lit(""), listed("lines", 20),
+        F.lit(""), F.lit("## High-level structure"), F.lit(""), listed(tops, 12), F.lit(""), F.lit("## Notes from selected files"), F.lit(""), listed("notes", 8),
+    )
+    return g.select("repo", "files", "selected", "stack", markdown.alias("markdown"))

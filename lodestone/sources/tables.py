@@ -100,3 +100,37 @@ def source_registry(spark: SparkSession) -> DataFrame:
     rows = [(k, title, product, domain, url, "official_docs", topics, keywords, reason, "registry") for k, (title, product, domain, url, topics, keywords, reason) in enumerate(K.SOURCE_REGISTRY)]
     out = spark.createDataFrame(rows, "pos long, title string, product string, domain string, url string, tier string, topics array<string>, keywords array<string>, reason string, source string")
     return out.withColumn("published_at", F.lit(None).cast("timestamp"))
+
+
+def normalize_scrape_results(raw: DataFrame) -> DataFrame:
+    """Pages from ``raw(body)``, the JSON rows of a scraping service: url, title, markdown; rows without a url or any text go.
+
+    Markdown of under 100 characters gives way to the description, the content or the title.
+    """
+    inner = "metadata:struct<title:string,sourceURL:string>,markdown:string,content:string,title:string,url:string"
+    r = raw.withColumn("r", F.from_json("body", f"struct<data:struct<{inner}>,description:string,{inner}>"))
+    first = lambda *c: F.coalesce(*[F.nullif(F.col("r." + x), F.lit("")) for x in c])
+    r = r.select(first("url", "data.url", "metadata.sourceURL").alias("url"), first("data.metadata.title", "data.title", "metadata.title", "title").alias("title"), first("data.markdown", "markdown", "data.content", "content").alias("md"), first("description", "content").alias("other"))
+    r = r.where("url is not null").withColumn("title", F.coalesce("title", "url"))
+    short = F.length(trim_all(F.coalesce("md", F.lit("")))) < 100
+    return r.select("url", "title", F.when(short, F.coalesce("other", "title")).otherwise(F.col("md")).alias("markdown")).where(trim_all(F.col("markdown")) != "")
+
+
+def load_query_suite(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark questions with the least numbers of pages, claims and citations that they must reach."""
+    return spark.read.schema("id string, category string, query string, minAcceptedPages int, minFilteredClaims int, minCitations int").option("multiLine", True).json(path)
+
+
+def write_run_summary(rows: DataFrame, folder: str) -> None:
+    """``rows`` as JSON, as CSV with a header, all values quoted, and as a Markdown table, below ``folder``."""
+    flat = rows.select(*[F.array_join(f.name, "|").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name).cast("string").alias(f.name) for f in rows.schema.fields])
+    rows.write.mode("overwrite").json(f"{folder}/json")
+    flat.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(f"{folder}/csv")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.regexp_replace(c, r"\|", "\\\\|"), F.lit("")) for c in flat.columns]), F.lit(" |"))
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(flat.columns) + " |"), (1, "|" + "---|" * len(flat.columns))], "k int, value string")
+    head.unionAll(flat.select(F.lit(2), cells)).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(f"{folder}/markdown")
+
+
+def vector_stats(vectors: DataFrame) -> DataFrame:
+    """How many vectors of which length a store has."""
+    return vectors.groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("points"))

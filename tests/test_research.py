@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestone.functions import checks, intents, text
-from lodestone.operators import answers, logs, providers, runs, search
+from lodestone.operators import answers, logs, providers, repos, runs, search
 from lodestone.plans import queries, research
 from lodestone.sources import tables
 
@@ -122,6 +122,25 @@ def test_stored_memories_and_ingest(spark):
     assert sorted(r.pos for r in chunks.collect()) == [1, 3, 5]
 
 
+def test_scrapes_suites_and_summaries(spark, tmp_path):
+    raw = spark.createDataFrame([('{"url":"https://a.org","markdown":"%s","title":"A"}' % ("x" * 120),), ('{"data":{"url":"https://b.org","markdown":"short"},"description":"told"}',), ('{"markdown":"no url"}',), ('{"metadata":{"sourceURL":"https://c.org"}}',)], "body string")
+    assert {(r.url, r.title, r.markdown[:5]) for r in tables.normalize_scrape_results(raw).collect()} == {("https://a.org", "A", "xxxxx"), ("https://b.org", "https://b.org", "told"), ("https://c.org", "https://c.org", "https")}
+    (tmp_path / "suite.json").write_text('[{"id": "q1", "category": "c", "query": "x", "minCitations": 2}]')
+    assert [(r.id, r.minCitations, r.minAcceptedPages) for r in tables.load_query_suite(spark, f"{tmp_path}/suite.json").collect()] == [("q1", 2, None)]
+    rows = spark.createDataFrame([("a|b", ["x", "y"], True)], "name string, failures array<string>, passed boolean")
+    tables.write_run_summary(rows, f"{tmp_path}/out")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out/markdown").collect()] == ["| name | failures | passed |", "|---|---|---|", "| a\\|b | x\\|y | true |"]
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/out/csv").collect()] == [("a|b", "x|y", "true")] and spark.read.json(f"{tmp_path}/out/json").count() == 1
+    assert tables.vector_stats(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 0.0])], "id int, embedding array<double>")).first().asDict() == {"dimension": 2, "points": 2}
+
+
+def test_repository_summaries(spark):
+    files = spark.createDataFrame([("o/r", "README.md", "# Title\n\nFirst line.\r\nSecond."), ("o/r", "apps/api/src/server.ts", "// note\n"), ("o/r", "package.json", '{"fastify": 1}' + " " * 3000 + "x"), ("o/r", "a.bin", None)], "repo string, path string, text string")
+    r = repos.summarize_repos(files).first()
+    assert (r.files, r.selected, r.stack) == (4, 3, ["API service", "Fastify"])
+    assert "- `README.md`: First line. Second." in r.markdown and "- `apps/api/src/server.ts`: File inspected." in r.markdown and "## High-level structure\n\n- `README.md`\n- `package.json`\n- `apps`" in r.markdown and "...[truncated]" in r.markdown
+
+
 def test_links(spark):
     base = "https://x.org/a/b?q"
     hrefs = ["c", "/d/", "//y.org/z", "?p=1", "#f", "HTTPS://x.org/e#g", "mailto:a@x.org", "/user/LOGIN/x", "p?utm_source=1", "//x.org/k"]
