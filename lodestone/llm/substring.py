@@ -199,6 +199,24 @@ def groups(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[tuple[pa.Re
         yield None, blobs
 
 
+class Outgoing:
+    """Positions on their way to documents' buckets, sent on when many have come together, over groups."""
+
+    def __init__(self, n_buckets: int, most: int = 1_000_000):
+        self.n_buckets, self.most, self.parts, self.n = n_buckets, most, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.n += len(columns[0])
+        if self.n >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield batch(to_documents(*map(np.concatenate, zip(*self.parts)), self.n_buckets))
+        self.parts, self.n = [], 0
+
+
 def dealt(rows: DataFrame, n_parts: int) -> DataFrame:
     """Rows by bucket, each bucket's together."""
     return rows.repartition(n_parts, "bucket").sortWithinPartitions("bucket")
@@ -280,7 +298,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         yield batch([(k, 1, None, None, None, n.tolist()) for k, n in enumerate(counts)])
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
+        counts, out = {}, Outgoing(n_buckets)
         for other, blobs in groups(batches, 0):
             if other is not None:
                 part = other.filter(pa.array(other.column("kind").to_numpy() == 1))
@@ -292,8 +310,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             order = np.argsort(g, kind="stable")
             same = np.diff(g[order]) == 0
             twice = order[np.r_[same, False] | np.r_[False, same]] if len(g) else order
-            if len(twice):
-                yield batch(to_documents(ids[twice], none[twice], xs[twice], pos[twice], n_buckets))
+            yield from out.add(ids[twice], none[twice], xs[twice], pos[twice])
+        yield from out.rest()
         yield batch([(k, 1, None, None, None, n.tolist()) for k, n in counts.items()])
 
     # counts and candidate places are written: what follows reads them, whatever executors are lost
@@ -340,6 +358,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             yield batch(rows)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outgoing(n_buckets)
         for other, blobs in groups(batches, 0):
             if other is not None:
                 yield other
@@ -350,8 +369,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             node = np.r_[True, (np.diff(f1) != 0) | (np.diff(f2) != 0)]
             lead = np.flatnonzero(node)[np.cumsum(node) - 1]
             later = (ids != ids[lead]) | (none != none[lead]) | (xs != xs[lead]) | (pos != pos[lead])
-            if later.any():
-                yield batch(to_documents(ids[later], none[later], xs[later], pos[later], n_buckets))
+            yield from out.add(ids[later], none[later], xs[later], pos[later])
+        yield from out.rest()
 
     later = dealt(found.mapInArrow(suffixes, SCHEMA), n_parts).mapInArrow(trees, SCHEMA)
     return gathered(later, n_parts).select("doc_id", "x", F.col("data").alias("starts"))
