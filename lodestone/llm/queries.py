@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, embeddings, lines, mixing, quality, sharding, simhash, substring, token_files, urls
+from lodestone.llm import bpe, decontaminate, embeddings, lines, manifest, mixing, quality, sharding, simhash, substring, token_files, urls
 
 
 def tokenizer(name: str) -> str:
@@ -71,8 +71,26 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontaminate.decontaminate(docs, items, 10)
+    names = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: manifest.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    other = F.when(tampered, fields(F.translate("text", "\n", ""))).otherwise(fields(F.col("text")))
+    found = manifest.manifest(docs.select("doc_id", "source", fields(F.col("text")).alias("leaf"), other.alias("other")))
+    root = manifest.folded(F.col("other"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring, op2_token_files, op3_sharding, op4_lines, op5_urls, op6_bpe, op7_simhash, op8_mixing, op9_quality, op10_embeddings)
+    f.__name__: f for f in (op1_substring, op2_token_files, op3_sharding, op4_lines, op5_urls, op6_bpe, op7_simhash, op8_mixing, op9_quality, op10_embeddings, op11_decontaminate, op13_manifest)
 }
 
-ORACLES: dict[str, str] = {"op1_substring": substring.ORACLE_SQL, "op9_quality": quality.ORACLE_SQL, "op10_embeddings": embeddings.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_substring": substring.ORACLE_SQL, "op9_quality": quality.ORACLE_SQL, "op10_embeddings": embeddings.ORACLE_SQL, "op11_decontaminate": decontaminate.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
