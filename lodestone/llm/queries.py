@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, embeddings, lines, manifest, mixing, quality, sharding, simhash, substring, token_files, urls
+from lodestone.llm import bpe, decontaminate, embeddings, lines, manifest, mixing, quality, runs, sharding, simhash, substring, token_files, urls
+from lodestone.llm.common import words
 
 
 def tokenizer(name: str) -> str:
@@ -78,6 +79,18 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    split = F.when(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, words(F.col("text")))
+    planted = docs.withColumn("w", split).select("doc_id", F.coalesce(F.array_join(runs.replanted(F.col("doc_id"), "w"), " "), "text").alias("text"))
+    found = runs.find(planted).withColumn("best", runs.steepest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = lambda text: manifest.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
@@ -90,7 +103,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring, op2_token_files, op3_sharding, op4_lines, op5_urls, op6_bpe, op7_simhash, op8_mixing, op9_quality, op10_embeddings, op11_decontaminate, op13_manifest)
+    f.__name__: f for f in (op1_substring, op2_token_files, op3_sharding, op4_lines, op5_urls, op6_bpe, op7_simhash, op8_mixing, op9_quality, op10_embeddings, op11_decontaminate, op12_runs, op13_manifest)
 }
 
-ORACLES: dict[str, str] = {"op1_substring": substring.ORACLE_SQL, "op9_quality": quality.ORACLE_SQL, "op10_embeddings": embeddings.ORACLE_SQL, "op11_decontaminate": decontaminate.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_substring": substring.ORACLE_SQL, "op9_quality": quality.ORACLE_SQL, "op10_embeddings": embeddings.ORACLE_SQL, "op11_decontaminate": decontaminate.ORACLE_SQL, "op12_runs": runs.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
