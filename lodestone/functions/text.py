@@ -149,7 +149,8 @@ def extract_entities(text: Column, most: int = 10) -> Column:
     return F.slice(unique(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))), 1, most)
 
 
-def infer_year(text: Column, now_year: int) -> Column:
+def infer_year(text: Column, now_year: Column | int) -> Column:
+    """The latest year from 2018 to the next one that a text names."""
     years = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])20\d{2}(?![A-Za-z0-9_])"), F.lit(0)), lambda y: y.cast("int"))
     return F.array_max(F.filter(years, lambda y: (y >= 2018) & (y <= now_year + 1)))
 

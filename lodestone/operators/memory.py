@@ -67,30 +67,48 @@ def grams(text: Column) -> Column:
     return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda k: F.substring(text, k, F.lit(2)))))
 
 
+def fact_entities(memories: DataFrame) -> DataFrame:
+    """The entities of durable facts, by their first two characters."""
+    of = ["of"] if "of" in memories.columns else []
+    facts = memories.where("kind = 'durable_fact'").select(F.col("id").alias("mid"), *of, trusted().alias("c"), F.posexplode("entities").alias("i", "entity"))
+    return facts.withColumn("low", F.lower("entity")).where(F.length("low") > 1).withColumn("gram", F.substring("low", 1, 2))
+
+
+def trusted() -> Column:
+    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.7))))
+
+
+def query_facts(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """``query_id, facts``: the durable facts of which ``queries(query_id, low)`` name an entity."""
+    facts = fact_entities(memories)
+    on = ["gram"] + (["of"] if "of" in memories.columns else [])
+    named = queries.select("query_id", F.col("query_id").alias("of"), F.col("low").alias("text")).withColumn("gram", F.explode(grams(F.col("text")))).join(facts, on).where(F.col("text").contains(F.col("low")))
+    return named.groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("mid").cast("string"))).alias("facts"))
+
+
 def memory_deltas(candidates: DataFrame, memories: DataFrame) -> DataFrame:
     """``pos, delta, matched``: what memories ``(id, kind, confidence, source_urls, entities)`` add to a candidate's score.
 
-    ``candidates(pos, url)``, with ``query``, ``title``, ``product``, ``domain``, ``topics`` and ``keywords`` where they have them.
-    Source memories count by url or host. Hosts match either way round, host to parent domain, so both sides are keyed by
+    ``candidates(pos, url)``, with ``query``, ``title``, ``product``, ``domain``, ``topics`` and ``keywords`` where they have them. Where memories have ``of``,
+    a memory counts for candidates of the same ``of`` only. Source memories count by url or host. Hosts match either way round, host to parent domain, so both sides are keyed by
     host and parents. Durable facts count by the first of their entities that the query or the candidate names; an entity meets
     texts that hold its first two characters. Equi-joins only.
     """
-    clamped = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.7)))).alias("c")
-    m = memories.where(F.col("kind").isin("source_quality", "source_failure")).select(F.col("id").alias("mid"), "kind", clamped, F.explode("source_urls").alias("u"))
-    m = m.withColumn("key", F.lower(normalize_url(F.col("u")))).withColumn("host", hostname(F.col("u")))
-    c = candidates.select("pos", F.lower(normalize_url(F.col("url"))).alias("ckey"), hostname(F.col("url")).alias("chost"))
-    pairs = c.join(m, F.col("ckey") == F.col("key")).select("pos", "mid", "kind", "c")
-    up = c.withColumn("at", F.explode(parents(F.col("chost")))).join(m.where("host != ''"), F.col("at") == F.col("host")).select("pos", "mid", "kind", "c")
-    down = c.where("chost != ''").join(m.withColumn("at", F.explode(parents(F.col("host")))), F.col("at") == F.col("chost")).select("pos", "mid", "kind", "c")
+    of = ["of"] if "of" in memories.columns else []
+    m = memories.where(F.col("kind").isin("source_quality", "source_failure")).select(F.col("id").alias("mid"), *of, "kind", trusted().alias("c"), F.explode("source_urls").alias("u"))
+    m = m.withColumn("key", F.lower(normalize_url(F.col("u")))).withColumn("at", hostname(F.col("u")))
+    c = candidates.select("pos", *of, F.lower(normalize_url(F.col("url"))).alias("key"), hostname(F.col("url")).alias("at"))
+    cols = ["pos", "mid", "kind", "c"]
+    pairs = c.drop("at").join(m.drop("at"), ["key", *of]).select(cols)
+    up = c.withColumn("at", F.explode(parents(F.col("at")))).join(m.where("at != ''"), ["at", *of]).select(cols)
+    down = c.where("at != ''").join(m.withColumn("at", F.explode(parents(F.col("at")))), ["at", *of]).select(cols)
     hit = pairs.union(up).union(down).distinct()
     delta = F.when(F.col("kind") == "source_quality", rounded(18 * F.col("c"))).otherwise(-rounded(30 * F.col("c"))).cast("int")
     hit = hit.select("pos", "mid", delta.alias("delta"), F.concat(F.lit("memory:"), "kind", F.lit(":")).alias("said"))
     if "entities" in memories.columns:
-        facts = memories.where("kind = 'durable_fact'").select(F.col("id").alias("mid"), clamped, F.posexplode("entities").alias("i", "entity"))
-        facts = facts.withColumn("low", F.lower("entity")).where(F.length("low") > 1).withColumn("gram", F.substring("low", 1, 2))
         own = [F.col(x) for x in ("query", "title", "product", "domain") if x in candidates.columns] + [F.array_join(x, " ") for x in ("topics", "keywords") if x in candidates.columns]
         text = F.lower(F.concat_ws(" ", *[F.when(x != "", x) for x in own]))
-        named = candidates.select("pos", text.alias("text")).withColumn("gram", F.explode(grams(F.col("text")))).join(facts, "gram").where(F.col("text").contains(F.col("low")))
+        named = candidates.select("pos", *of, text.alias("text")).withColumn("gram", F.explode(grams(F.col("text")))).join(fact_entities(memories), ["gram", *of]).where(F.col("text").contains(F.col("low")))
         first = named.groupBy("pos", "mid").agg(F.min(F.struct("i", "entity", "c")).alias("x"))
         hit = hit.unionByName(first.select("pos", "mid", rounded(5 * F.col("x.c")).cast("int").alias("delta"), F.concat(F.lit("memory:durable_fact_entity:"), "x.entity", F.lit(":")).alias("said")))
     trail = F.concat("said", F.when(F.col("delta") >= 0, "+").otherwise(""), F.col("delta").cast("string"))
