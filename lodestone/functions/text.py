@@ -102,17 +102,30 @@ def to_follow(base: Column, link: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    """A rolling 32-bit hash over the UTF-16 units of the trimmed, collapsed, lower-case text, in base 36 of at least 7 digits."""
-    s = F.lower(F.regexp_replace(trim_all(text), r"\s+", " "))
-    chars = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
-    roll = lambda a, unit: (a * 31 + unit).bitwiseAND(F.lit(4294967295))
+    """A rolling 32-bit hash over the UTF-16 units of the trimmed, collapsed, lower-case text, in base 36 of at least 7 digits.
+
+    A step takes twelve characters, the first of which may be padding of the value zero; only texts with characters of two units are gone
+    through one by one.
+    """
+    s, mask = F.lower(F.regexp_replace(trim_all(text), r"\s+", " ")), F.lit(4294967295)
+    roll = lambda a, unit: (a * 31 + unit).bitwiseAND(mask)
 
     def step(a: Column, c: Column) -> Column:
         code = F.ascii(c)
         pair = F.shiftright(code - 65536, 10) + 55296, (code - 65536).bitwiseAND(F.lit(1023)) + 56320
         return F.when(code < 65536, roll(a, code)).otherwise(roll(roll(a, pair[0]), pair[1]))
 
-    h = F.aggregate(chars, F.lit(0).cast("long"), step)
+    def steps(a: Column, block: Column) -> Column:
+        for k in range(12):
+            a = a * 31 + F.ascii(F.substring(block, k + 1, 1))
+            a = a.bitwiseAND(mask) if k % 6 == 5 else a  # six steps stay within 64 bits
+        return a
+
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    chars = F.when(s == "", none).otherwise(F.split(s, ""))
+    padded = F.lpad(s, F.ceil(F.length(s) / 12).cast("int") * 12, "\0")
+    blocks = F.when(s == "", none).otherwise(F.regexp_extract_all(padded, F.lit("(?s).{12}"), F.lit(0)))
+    h = F.when(s.rlike(r"[\x{10000}-\x{10FFFF}]"), F.aggregate(chars, zero, step)).otherwise(F.aggregate(blocks, zero, steps))
     digits = F.lower(F.conv(F.abs(F.when(h >= 2147483648, h - 4294967296).otherwise(h)).cast("string"), 10, 36))
     return F.when(F.length(digits) < 7, F.lpad(digits, 7, "0")).otherwise(digits)
 

@@ -23,11 +23,19 @@ def answer_evidence(queries: DataFrame, claims: DataFrame, most: int = 10) -> Da
     return j.withColumn("place", F.row_number().over(Window.partitionBy("pack_id").orderBy(F.desc("score"), "claim_pos"))).where(F.col("place") <= most)
 
 
+def source_key() -> Column:
+    """What tells sources apart: their url, else title and tier."""
+    return F.when(F.coalesce("url", F.lit("")) != "", F.col("url")).otherwise(F.concat(F.coalesce("title", F.lit("")), F.lit(":"), F.coalesce("tier", F.lit(""))))
+
+
+def keyed_citations(rows: DataFrame, order: str) -> DataFrame:
+    g = rows.withColumn("key", source_key()).groupBy("pack_id", "key").agg(F.min_by(F.struct("url", "title", "tier"), order).alias("x"), F.min(order).alias("at"), F.count("*").alias("used_claims"))
+    return g.select("pack_id", "key", F.row_number().over(Window.partitionBy("pack_id").orderBy("at")).alias("id"), "x.*", "used_claims")
+
+
 def citations(rows: DataFrame, order: str = "claim_pos") -> DataFrame:
     """``pack_id, id, url, title, tier, used_claims``: sources in order of first sight, numbered from 1; without a url, by title and tier."""
-    key = F.when(F.coalesce("url", F.lit("")) != "", F.col("url")).otherwise(F.concat("title", F.lit(":"), "tier"))
-    g = rows.withColumn("key", key).groupBy("pack_id", "key").agg(F.min_by(F.struct("url", "title", "tier"), order).alias("x"), F.min(order).alias("at"), F.count("*").alias("used_claims"))
-    return g.select("pack_id", F.row_number().over(Window.partitionBy("pack_id").orderBy("at")).alias("id"), "x.*", "used_claims")
+    return keyed_citations(rows, order).drop("key")
 
 
 def answer_confidence(rows: DataFrame) -> DataFrame:
@@ -43,8 +51,9 @@ def claim_line(most: int) -> Column:
 
 
 def topic_table(rows: DataFrame, topics: int = 4, each: int = 3) -> DataFrame:
-    """``pack_id, body``: a row for each of the first topics (the first entity, else the title) with its first claims; ``rows`` in order of ``place``."""
-    topic = F.coalesce(F.nullif(F.get("entities", 0), F.lit("")), F.nullif("title", F.lit("")), F.lit("Other"))
+    """``pack_id, body``: a row for each of the first topics (the product, domain, first entity or title) with its first claims; ``rows`` in order of ``place``."""
+    said = lambda c: F.nullif(c, F.lit(""))
+    topic = F.coalesce(*[said(F.col(c)) for c in ("product", "domain") if c in rows.columns], said(F.get("entities", 0)), said(F.col("title")), F.lit("Other"))
     r = rows.withColumn("topic", topic).withColumn("n", F.row_number().over(Window.partitionBy("pack_id", "topic").orderBy("place"))).where(F.col("n") <= each)
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", claim_line(140).alias("t")))), lambda x: x.t), "<br>")
     g = r.groupBy("pack_id", "topic").agg(F.min("place").alias("at"), line.alias("points"))
@@ -58,15 +67,15 @@ def synthesize_answers(queries: DataFrame, claims: DataFrame, most: int | None =
 
     ``claims`` are kept, verified ones. The best claims of a pack are printed in the layout of the query's mode: at most ``most``
     (14 for comparisons and 10 for others, by default), so a pack's answer is one row of bounded size. Packs without claims have the status
-    insufficient_evidence.
+    insufficient_evidence, and print the gaps in ``missing`` where queries have it. Sources without a url are told apart by title and tier.
     """
     q = queries.withColumn("mode", answer_mode(F.col("query"), F.col("use_case")))
     limit = F.lit(most) if most else F.when(F.col("mode") == "comparison", 14).otherwise(10)
-    rows = answer_evidence(q.drop("use_case"), claims, most or 14).where(F.col("place") <= limit)
-    cites = citations(rows, "place")
-    rows = rows.join(cites.select("pack_id", "url", "id"), ["pack_id", "url"], "left")
+    rows = answer_evidence(q.select("pack_id", "query", "mode"), claims, most or 14).where(F.col("place") <= limit)
+    cites = keyed_citations(rows, "place")
+    rows = rows.withColumn("key", source_key()).join(cites.select("pack_id", "key", "id"), ["pack_id", "key"], "left")
     in_order = lambda t: F.transform(F.array_sort(F.collect_list(F.struct("place", t.alias("t")))), lambda x: x.t)
-    note = F.concat(F.col("status"), F.lit(" evidence from "), F.col("title"), F.when(F.col("section") != "", F.concat(F.lit(', section "'), "section", F.lit('"'))).otherwise(""), F.lit(': "'), shorten(F.col("quote"), 220), F.lit('"'))
+    note = F.concat(F.col("status"), F.lit(" evidence from "), F.coalesce("title", F.lit("")), F.when(F.col("section") != "", F.concat(F.lit(', section "'), "section", F.lit('"'))).otherwise(""), F.lit(': "'), shorten(F.col("quote"), 220), F.lit('"'))
     of = lambda n, mode: F.when(F.col("mode") == mode, claim_line(n))
     line = F.coalesce(of(260, "comparison"), of(280, "how_to"), of(260, "research_summary"), claim_line(320))
     g = rows.groupBy("pack_id", "mode").agg(
@@ -86,10 +95,13 @@ def synthesize_answers(queries: DataFrame, claims: DataFrame, most: int | None =
         .when(F.col("mode") == "research_summary", part("Main points", bullets))
         .otherwise(numbered("lines", 10))
     )
-    sources = F.array_join(F.transform("citations", lambda c: F.concat(F.lit("["), c.id.cast("string"), F.lit("] "), c.title, F.lit(" — "), c.url)), "\n")
+    sources = F.array_join(F.transform("citations", lambda c: F.concat(F.lit("["), c.id.cast("string"), F.lit("] "), F.coalesce(c.title, F.lit("")), F.lit(" — "), F.coalesce(c.url, F.lit("")))), "\n")
     markdown = F.concat_ws("\n", part("Answer", intro), middle, part("Evidence notes", numbered("notes", 6)), part("Sources", sources))
     made = g.select("pack_id", F.when(answered, "answered").otherwise("partial").alias("status"), markdown.alias("markdown"), "citations", "row_urls", "confidence", "supported", "weak")
-    none = "## Answer\n\nI do not have enough verified evidence to answer this confidently.\n\n## Evidence gaps\n\n- No supported or weak claim-level evidence was available."
-    out = q.select("pack_id", "mode").join(made, "pack_id", "left")
-    filled = {"status": F.lit("insufficient_evidence"), "markdown": F.lit(none), "citations": F.array().cast(made.schema["citations"].dataType), "row_urls": F.array().cast("array<string>"), "confidence": F.lit(0.0), "supported": F.lit(0), "weak": F.lit(0)}
+    gaps = F.lit("- No supported or weak claim-level evidence was available.")
+    if "missing" in queries.columns:
+        gaps = F.when(F.size("missing") > 0, F.array_join(F.transform("missing", lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(gaps)
+    none = F.concat(F.lit("## Answer\n\nI do not have enough verified evidence to answer this confidently.\n\n## Evidence gaps\n\n"), gaps)
+    out = q.withColumn("none", none).select("pack_id", "mode", "none").join(made, "pack_id", "left")
+    filled = {"status": F.lit("insufficient_evidence"), "markdown": F.col("none"), "citations": F.array().cast(made.schema["citations"].dataType), "row_urls": F.array().cast("array<string>"), "confidence": F.lit(0.0), "supported": F.lit(0), "weak": F.lit(0)}
     return out.select("pack_id", "mode", *[F.coalesce(c, x).alias(c) for c, x in filled.items()])

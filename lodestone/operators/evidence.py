@@ -11,35 +11,62 @@ from lodestone.functions import scores
 from lodestone.functions.text import canonicalize_url, clean_markdown, content_hash, extract_entities, jaccard, preview, strip_markdown, trim_all, unique, word_set
 
 
+#: Chunk bounds that are gathered before they join the others, and characters of the blocks from which chunks are cut.
+GATHERED, BLOCK = 256, 4096
+
+
 def chunk_bounds(text: Column, size: int = 700, overlap: int = 200) -> Column:
-    """``array<struct<s, e>>`` of the chunks of a cleaned text (the end is exclusive), found by one fold over its blank lines in the JVM.
+    """``array<struct<s, e>>`` of the chunks of a cleaned text (the end is exclusive), found by one fold over its pieces between blank lines.
 
-    A chunk ends at the last blank line before its limit if that lies past 55 % of its size; the next one starts ``overlap`` before that end.
+    A chunk ends at the last blank line before its limit if that lies past 55 % of its size; the next one starts ``overlap`` before that end. The
+    fold knows the place in the text, the start of the chunk that is open and the last blank line at which it may end; a piece that
+    leads beyond the limit ends chunks, of which those without a blank line follow one another in even steps.
     """
-    if overlap >= int(size * 0.55):
-        raise ValueError("overlap must be below 55 % of size")
     least = int(size * 0.55)
-    n = F.length(text)
-    # where a line end follows another: the text is cut between the two, and the pieces' lengths add up
-    cuts = F.aggregate(F.split(text, r"(?<=\n)(?=\n)"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    breaks = F.transform(F.slice(cuts, 2, F.greatest(F.size(cuts) - 2, F.lit(0))), lambda x: x - 1)
-    steps = F.sequence(F.lit(0), F.floor(n / (least - overlap + 1)).cast("int") + 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"), breaks.alias("left"))
-
-    def step(a: Column, _: Column) -> Column:
-        hard = F.least(a["at"] + size, n)
-        left = F.filter(a["left"], lambda x: x > a["at"] + least)
-        end = F.coalesce(F.array_max(F.filter(left, lambda x: x <= hard)), hard)
-        made = F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), end.alias("e"))))
-        return F.when(a["at"] < 0, a).otherwise(F.struct(F.when(end >= n, -1).otherwise(F.greatest(F.lit(0), end - overlap)).alias("at"), made.alias("out"), left.alias("left")))
-
-    return F.when(n > 0, F.aggregate(steps, start, step)["out"]).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    if overlap >= least:
+        raise ValueError("overlap must be below 55 % of size")
+    kind, hop = "array<struct<s:int,e:int>>", size - overlap
+    none = F.array().cast(kind)
+    lengths = F.transform(F.split(text, r"(?<=\n)(?=\n)"), F.length)
+    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"), F.lit(-1).alias("last"), none.alias("new"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def state(pos, at, last, new, out) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), at.cast("int").alias("at"), last.cast("int").alias("last"), new.alias("new"), out.alias("out"))
+
+    def closed(a: Column, to: Column) -> tuple[Column, Column, Column]:
+        """The start, last blank line and chunks once all chunks are closed whose limits lie before ``to``."""
+        ends = (to > a["at"] + size) & (a["last"] >= 0)
+        at = F.when(ends, a["last"] - overlap).otherwise(a["at"])
+        n = F.greatest(F.lit(0), F.ceil((to - size - at) / hop)).cast("int")
+        even = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: span(at + k * hop, at + k * hop + size))).otherwise(none)
+        return at + n * hop, F.when(ends | (n > 0), -1).otherwise(a["last"]), F.concat(F.when(ends, F.array(span(a["at"], a["last"]))).otherwise(none), even)
+
+    def step(a: Column, length: Column) -> Column:
+        pos = a["pos"] + length
+        at, last, made = closed(a, pos - 1)
+        ends_at = lambda at, last: F.when(pos - 1 > at + least, pos - 1).otherwise(last)
+        full = F.size(a["new"]) >= GATHERED
+        more = state(pos, at, ends_at(at, last), F.when(full, made).otherwise(F.concat(a["new"], made)), F.when(full, F.concat(a["out"], F.array(a["new"]))).otherwise(a["out"]))
+        return F.when(pos - 1 <= a["at"] + size, state(pos, a["at"], ends_at(a["at"], a["last"]), a["new"], a["out"])).otherwise(more)
+
+    def finish(a: Column) -> Column:
+        n = F.length(text)
+        at, last, made = closed(a, n)
+        ending = F.when(last >= 0, F.array(span(at, last), span(last - overlap, n))).otherwise(F.array(span(at, n)))
+        return F.concat(F.flatten(a["out"]), a["new"], made, ending)
+
+    inner = F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0)))
+    return F.when(F.length(text) > 0, F.aggregate(inner, start, step, finish)).otherwise(none)
 
 
 def chunk_text(docs: DataFrame, key: str, text: str, size: int = 700, overlap: int = 200) -> DataFrame:
-    """``key, chunk_index, start_char, end_char, chunk_text`` of each document."""
+    """``key, chunk_index, start_char, end_char, chunk_text`` of each document; chunks are cut from blocks of the text, not from its whole."""
     d = docs.select(key, clean_markdown(F.col(text)).alias("t")).withColumn("b", chunk_bounds(F.col("t"), size, overlap))
-    parts = F.transform("b", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), trim_all(F.substring(F.col("t"), x.s + 1, x.e - x.s)).alias("c")))
+    block = max(BLOCK, size)
+    d = d.withColumn("blocks", F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    own = lambda s: F.concat(F.get("blocks", F.floor(s / block).cast("int")), F.coalesce(F.get("blocks", F.floor(s / block).cast("int") + 1), F.lit("")))
+    parts = F.transform("b", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), trim_all(F.substring(own(x.s), x.s % block + 1, x.e - x.s)).alias("c")))
     d = d.select(key, F.posexplode(F.filter(parts, lambda x: x.c != "")).alias("i", "x"))
     return d.select(key, F.col("i").alias("chunk_index"), F.col("x.s").alias("start_char"), F.col("x.e").alias("end_char"), F.col("x.c").alias("chunk_text"))
 
@@ -198,3 +225,18 @@ def evidence_coverage(claims: DataFrame) -> DataFrame:
         of("weak").alias("weak"),
         of("unsupported").alias("unsupported"),
     )
+
+
+def evidence_gaps(packs: DataFrame, coverage: DataFrame) -> DataFrame:
+    """``packs(pack_id, use_case, ...)`` with the counts of ``evidence_coverage`` (0 where a pack has no claims) and ``missing``, what the evidence lacks."""
+    counts = [c for c in coverage.columns if c != "pack_id"]
+    g = packs.join(coverage, "pack_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    none, official = F.col("kept_claims") == 0, F.col("use_case").isin("api_facts", "comparison")
+    missing = F.array_compact(
+        F.array(
+            F.when(none, F.lit("No claim-level evidence was collected.")),
+            F.when(official & (F.col("official_sources") == 0), F.lit("No official/trusted sources were collected.")),
+            F.when(~none & (F.col("supported") == 0), F.lit("Evidence was collected, but no claim passed citation verification.")),
+        )
+    )
+    return g.withColumn("missing", missing)

@@ -24,9 +24,10 @@ def source_quality_memories(claims: DataFrame) -> DataFrame:
 
 
 def failure_memories(failures: DataFrame) -> DataFrame:
-    """From ``failures(query_id, url, reason)``: blocked hosts with confidence .9, others .8."""
+    """From ``failures(query_id, url, reason)``: blocked hosts with confidence .9, others .8; with ``query``, each has a text too."""
     blocked = is_blocked_reason(F.col("reason"))
-    return failures.where("url is not null and url != ''").select("query_id", F.array("url").alias("source_urls"), F.lit("source").alias("scope"), F.lit("source_failure").alias("kind"), F.when(blocked, 0.9).otherwise(0.8).alias("confidence"), blocked.alias("domain_blocked"))
+    text = [F.concat(F.lit('Source "'), "url", F.lit('" failed during crawl for query "'), "query", F.lit('" because: '), "reason").alias("text")] if "query" in failures.columns else []
+    return failures.where("url is not null and url != ''").select("query_id", *text, F.array("url").alias("source_urls"), F.lit("source").alias("scope"), F.lit("source_failure").alias("kind"), F.when(blocked, 0.9).otherwise(0.8).alias("confidence"), blocked.alias("domain_blocked"))
 
 
 def durable_fact_memories(claims: DataFrame) -> DataFrame:
