@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as K
 from lodestone.functions.intents import holds
-from lodestone.functions.text import trim_all
+from lodestone.functions.model_json import json_object_from_text
+from lodestone.functions.text import once, trim_all
 
 
 def numeric_dump(text: Column) -> Column:
@@ -71,9 +72,13 @@ def final_gate(final: Column, required: Column, called: Column) -> Column:
 def critic_json(text: Column, threshold: float = 0.65) -> Column:
     """``struct<passed, score>`` of a model's verdict in JSON, or of the part from the first brace to the last; null without one."""
     kind = "struct<passed: boolean, score: double, dimensions: struct<relevance: double, specificity: double, completeness: double, sourceUse: double>>"
-    j = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), kind)
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
-    d = j["dimensions"]
-    mean = (unit(d["relevance"]) + unit(d["specificity"]) + unit(d["completeness"]) + unit(d["sourceUse"])) / 4
-    score = F.when(j["score"].isNotNull(), unit(j["score"])).otherwise(mean)
-    return F.when(F.get_json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0), "$").isNotNull(), F.struct((F.coalesce(j["passed"], F.lit(False)) & (score >= threshold)).alias("passed"), score.alias("score")))
+
+    def verdict(raw: Column) -> Column:
+        j = F.from_json(raw, kind)
+        d = j["dimensions"]
+        mean = (unit(d["relevance"]) + unit(d["specificity"]) + unit(d["completeness"]) + unit(d["sourceUse"])) / 4
+        score = F.when(j["score"].isNotNull(), unit(j["score"])).otherwise(mean)
+        return F.when(raw.isNotNull(), F.struct((F.coalesce(j["passed"], F.lit(False)) & (score >= threshold)).alias("passed"), score.alias("score")))
+
+    return once(json_object_from_text(text), verdict)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,13 +103,18 @@ def to_follow(base: Column, link: Column) -> Column:
     return out
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def content_hash(text: Column) -> Column:
     """A rolling 32-bit hash over the UTF-16 units of the trimmed, collapsed, lower-case text, in base 36 of at least 7 digits.
 
     A step takes twelve characters, the first of which may be padding of the value zero; only texts with characters of two units are gone
     through one by one.
     """
-    s, mask = F.lower(F.regexp_replace(trim_all(text), r"\s+", " ")), F.lit(4294967295)
+    mask = F.lit(4294967295)
     roll = lambda a, unit: (a * 31 + unit).bitwiseAND(mask)
 
     def step(a: Column, c: Column) -> Column:
@@ -121,13 +128,15 @@ def content_hash(text: Column) -> Column:
             a = a.bitwiseAND(mask) if k % 6 == 5 else a  # six steps stay within 64 bits
         return a
 
-    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
-    chars = F.when(s == "", none).otherwise(F.split(s, ""))
-    padded = F.lpad(s, F.ceil(F.length(s) / 12).cast("int") * 12, "\0")
-    blocks = F.when(s == "", none).otherwise(F.regexp_extract_all(padded, F.lit("(?s).{12}"), F.lit(0)))
-    h = F.when(s.rlike(r"[\x{10000}-\x{10FFFF}]"), F.aggregate(chars, zero, step)).otherwise(F.aggregate(blocks, zero, steps))
-    digits = F.lower(F.conv(F.abs(F.when(h >= 2147483648, h - 4294967296).otherwise(h)).cast("string"), 10, 36))
-    return F.when(F.length(digits) < 7, F.lpad(digits, 7, "0")).otherwise(digits)
+    def rolled(s: Column) -> Column:
+        padded = F.lpad(s, F.ceil(F.length(s) / 12).cast("int") * 12, "\0")
+        whole = F.aggregate(F.regexp_extract_all(padded, F.lit("(?s).{12}"), F.lit(0)), F.lit(0).cast("long"), steps)
+        return F.when(s == "", 0).when(s.rlike(r"[\x{10000}-\x{10FFFF}]"), F.aggregate(F.split(s, ""), F.lit(0).cast("long"), step)).otherwise(whole)
+
+    plain = F.lower(F.regexp_replace(trim_all(text), r"\s+", " "))
+    h = once(plain, rolled)
+    digits = once(h, lambda h: F.lower(F.conv(F.abs(F.when(h >= 2147483648, h - 4294967296).otherwise(h)).cast("string"), 10, 36)))
+    return once(digits, lambda d: F.when(F.length(d) < 7, F.lpad(d, 7, "0")).otherwise(d))
 
 
 def hash_text(text: Column) -> Column:

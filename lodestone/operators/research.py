@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import query as Q
 from lodestone.functions.scores import page_features, page_quality, verify_claim
+from lodestone.functions.text import preview
 from lodestone.operators import answers, crawl, evidence, logs, memory, search
 from lodestone.operators.runs import research_status
 from lodestone.sources.tables import ingest
@@ -154,3 +155,40 @@ def response_contract(found: dict[str, DataFrame]) -> DataFrame:
         F.struct(F.col("answer").alias("status"), "mode", "citations").alias("answer"), F.struct("memories_retrieved", "memories_used", "memories_written").alias("memories"),
     )
     return j.select("run_id", F.lit("research-response-v1").alias("contractVersion"), "status", "query", ui.alias("ui"), debug.alias("debug"))
+
+
+def simple_research(queries: DataFrame, registry: DataFrame, searched: DataFrame, scraped: DataFrame, stored: DataFrame, chunks: DataFrame, now: Column, max_sources: int = 10) -> dict[str, DataFrame]:
+    """Research without sub-queries or crawls: one page of each planned source; ``resources``, ``documents``, ``failures``, ``claims`` and ``packs``.
+
+    ``searched(query_id, ...)`` are each query's candidates, ``scraped(source_url, url, title, markdown)`` the pages. A page of under 250 characters fails; one without
+    claims gives a claim that it may matter.
+    """
+    plan = evidence.checkpointed(search.plan_resources(queries.select("query_id", "query"), registry, searched, now, max_sources))
+    got = plan.join(scraped.select(F.col("source_url").alias("url"), F.col("url").alias("page_url"), F.col("title").alias("page_title"), "markdown"), "url", "left")
+    good = F.coalesce(F.length(F.regexp_replace("markdown", r"^\s+|\s+\z", "")) >= 250, F.lit(False))
+    failures = got.where(~good).select("query_id", "title", "url", F.when(F.col("page_url").isNull(), "Page could not be scraped.").otherwise("Scraped markdown was too short.").alias("reason"))
+    pages = evidence.checkpointed(got.where(good).select(F.col("query_id").alias("pack_id"), F.col("page_url").alias("url"), F.coalesce(F.nullif("page_title", F.lit("")), "title").alias("title"), "markdown", "tier", F.col("place").alias("pos")))
+    documents, new_chunks = ingest(stored, chunks, pages.join(queries.select(F.col("query_id").alias("pack_id"), "project_id"), "pack_id").select(F.struct("pack_id", "pos").alias("pos"), "project_id", "title", "url", "markdown"))
+    claims = evidence.checkpointed(evidence.extract_evidence(pages))
+    fallback = evidence.fallback_evidence(pages, claims).withColumn("claim", F.concat(F.lit('Source "'), "title", F.lit('" contains potentially relevant information for the query.')))
+    more = {"claim_pos": F.lit(None).cast(claims.schema["claim_pos"].dataType), "section": F.lit(None).cast("string"), "entities": F.array().cast("array<string>")}
+    both = claims.unionByName(fallback.withColumns(more).select(*claims.columns))
+    packs = evidence.evidence_gaps(queries.select(F.col("query_id").alias("pack_id"), "query", Q.infer_use_case(F.col("query")).alias("use_case")), evidence.evidence_coverage(evidence.near_dedupe_claims(both)))
+    return {"resources": plan, "documents": documents, "chunks": new_chunks, "failures": failures, "claims": both, "packs": packs}
+
+
+def crawl_and_ingest(pages: DataFrame, roots: DataFrame, stored: DataFrame, chunks: DataFrame, max_depth: int = 1, max_pages: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Crawl from ``roots(root_id, url, project_id)`` over ``pages(url, html, title, markdown)`` and ingest what is found: a row for each visit, and the chunks.
+
+    A visit has ``root_id, place, url, found, status, chunks, preview``: new, backfilled or deduped as the ingest says, the number of its chunks (of those made now)
+    and the first 500 characters; pages that aren't stored, or are empty, have no status.
+    """
+    own = pages.withColumn("key", crawl.page_key(F.col("url"))).groupBy("key").agg(F.min(F.struct("url", "title", "markdown")).alias("p"))
+    visits = evidence.checkpointed(crawl.bounded_crawl(pages.select("url", "html"), roots.select("root_id", "url"), max_depth, max_pages))
+    got = visits.join(own, "key", "left").join(roots.select("root_id", "project_id"), "root_id").select("root_id", "place", "found", "key", "project_id", "p.title", "p.markdown").withColumn("pos", F.struct("root_id", "place"))
+    incoming = got.where("found and trim(markdown) != ''").select("pos", "project_id", "title", F.col("key").alias("url"), "markdown")
+    told, made = ingest(stored, chunks, incoming)
+    made = evidence.checkpointed(made)
+    n = made.groupBy("pos").agg(F.count("*").alias("chunks"))
+    out = got.join(told.select("pos", "status"), "pos", "left").join(n, "pos", "left")
+    return out.select("root_id", "place", F.col("key").alias("url"), "found", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), preview(F.col("markdown"), 500).alias("preview")), made
