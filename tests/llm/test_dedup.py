@@ -237,7 +237,7 @@ def test_every_near_line_is_linked(spark, monkeypatch, few):
     rows += [[*hot[:k], f"c{j}", *hot[k + 1 :]] for k in range(12) for j in range(5)]
     rows += [["a"] * k + [f"b{j}"] for k in range(3, 12) for j in range(4)] + [["t", "a"] * 6 + [f"e{j}"] for j in range(40)]  # few distinct words
     rows = sorted({tuple(w) for w in rows})
-    df = spark.createDataFrame([(k, list(w)) for k, w in enumerate(rows)], "line long, words array<string>")
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "line long, text string")
     got = lines.links(df, 0.8).collect()
     sizes = [len(w) for w in rows]
     close = lambda a, b: abs(sizes[a] - sizes[b]) <= (m := int(0.2 * max(sizes[a], sizes[b]) + 1e-9)) and edit(rows[a], rows[b]) <= m
