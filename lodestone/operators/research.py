@@ -140,12 +140,12 @@ def response_contract(found: dict[str, DataFrame]) -> DataFrame:
     """``run_id, contractVersion, status, query, ui, debug`` of ``research``'s tables: what a client shows, and how it came about."""
     r, a = found["runs"], found["answers"]
     sources = F.array_sort(F.collect_list(F.struct("pos", "title", "url", "tier", "score")))
-    planned = found["resources"].groupBy("run_id").agg(sources.alias("resources"))
+    planned = found["resources"].groupBy("run_id").agg(sources.alias("planned"))
     answer = a.select(F.col("pack_id").alias("run_id"), "markdown", F.col("citations").alias("cited"), F.col("issues").alias("said"))
     j = r.join(planned, "run_id", "left").join(answer, "run_id")
     coverage = F.struct("raw_claims", "kept_claims", "quality_rejected", "duplicate_rejected", "supported", "missing")
     trace = F.struct("crawled", "accepted", "rejected_by_quality", "duplicate_url", "duplicate_content", "sources_with_content", "sources_skipped", "retries", "blocked_hosts")
-    shown = F.transform(F.coalesce("resources", F.array().cast(planned.schema["resources"].dataType)), lambda x: F.struct(x.title.alias("title"), x.url.alias("url"), x.tier.alias("tier"), x.score.alias("score")))
+    shown = F.transform(F.coalesce("planned", F.array().cast(planned.schema["planned"].dataType)), lambda x: F.struct(x.title.alias("title"), x.url.alias("url"), x.tier.alias("tier"), x.score.alias("score")))
     ui = F.struct(
         F.col("markdown").alias("answerMarkdown"), F.col("cited").alias("citations"), "confidence", F.col("mode").alias("answerMode"), F.col("grounding").alias("groundingStatus"), F.col("said").alias("groundingIssues"),
         coverage.alias("evidenceCoverage"), trace.alias("crawlTrace"), shown.alias("resources"), "warnings",

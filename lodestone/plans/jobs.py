@@ -148,15 +148,8 @@ def research_runs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("run_id").alias("item_id"), "status", F.col("debug.search.subqueries").alias("subqueries"), F.size("ui.resources").cast("long").alias("resources"), F.col("ui.crawlTrace.accepted").alias("pages"), F.col("ui.evidenceCoverage.kept_claims").cast("long").alias("claims"), F.col("ui.answerMode").alias("mode"), F.col("ui.groundingStatus").alias("grounding"), F.size("ui.citations").cast("long").alias("citations"), F.array_join("ui.warnings", "; ").alias("warnings"))
 
 
-def planned_questions(spark: SparkSession, d: str) -> DataFrame:
-    """What each benchmark item's sub-queries search for."""
-    q = scan(spark, d, "benchmark").selectExpr("item_id AS query_id", "concat('compare ', text) AS query")
-    s = research.planned_searches(q)
-    return s.groupBy(F.col("query_id").alias("item_id")).agg(F.countDistinct("turn").alias("subqueries"), F.count("*").alias("searches"), F.md5(F.array_join(F.array_sort(F.collect_set("sub")), "|")).alias("subs_md5"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (contracts_found, labels_parsed, strategies_rendered, job_results, sources_extracted, reports_written, newest_events, ranked_undated, gaps_of_sources, crawled_resources, research_runs, planned_questions)
+    f.__name__: f for f in (contracts_found, labels_parsed, strategies_rendered, job_results, sources_extracted, reports_written, newest_events, ranked_undated, gaps_of_sources, crawled_resources, research_runs)
 }
 
 _POINTS = ", ".join(f"('{use}', '{t}', {n})" for t, ns in K.TIER_USE_CASE.items() for use, n in zip(K.USE_CASES, ns))
@@ -220,7 +213,7 @@ SELECT query_id, place, page_id, score::BIGINT AS score,
 FROM r WHERE place <= 20""",
     "gaps_of_sources": _CLAIMS + f""", sc AS (SELECT *, {_STATUS} AS status FROM claims),
 pk AS (SELECT DISTINCT coalesce(source, '-') AS pack_id, ['comparison', 'api_facts', 'tutorial'][length(coalesce(source, '-')) % 3 + 1] AS use_case FROM documents UNION ALL SELECT 'nothing', 'comparison'),
-g AS (SELECT pk.pack_id, any_value(use_case) AS use_case, count(sc.claim) AS kept, count(DISTINCT CASE WHEN tier IN ('official_docs', 'trusted_docs') THEN url END) AS official, count(*) FILTER (status = 'supported') AS supported FROM pk LEFT JOIN sc ON sc.pack_id = pk.pack_id GROUP BY pk.pack_id)
+g AS (SELECT pk.pack_id, any_value(use_case) AS use_case, count(sc.c) AS kept, count(DISTINCT CASE WHEN tier IN ('official_docs', 'trusted_docs') THEN url END) AS official, count(*) FILTER (status = 'supported') AS supported FROM pk LEFT JOIN sc ON sc.pack_id = pk.pack_id GROUP BY pk.pack_id)
 SELECT pack_id, kept AS kept_claims, official AS official_sources, supported, array_to_string(list_filter([CASE WHEN kept = 0 THEN 'No claim-level evidence was collected.' END, CASE WHEN use_case IN ('api_facts', 'comparison') AND official = 0 THEN 'No official/trusted sources were collected.' END,
   CASE WHEN kept > 0 AND supported = 0 THEN 'Evidence was collected, but no claim passed citation verification.' END], lambda x: x IS NOT NULL), '; ') AS missing FROM g""",
 }

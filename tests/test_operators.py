@@ -107,6 +107,15 @@ def test_stream_ingest_skips_what_it_knows(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(folder)
         ingest.stream_ingest(spark, folder, "doc_id long, text string", out, f"{tmp_path}/cp").awaitTermination(120)
     assert sorted(r.chunk_text for r in spark.read.parquet(f"{out}/chunks").collect()) == ["another", "one text"]
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/documents").collect()) == [1, 4]
+
+
+def test_stream_of_equal_documents_keeps_the_first(spark, tmp_path):
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for rows in ([(9, "same"), (3, "same"), (5, None)], [(1, "same"), (2, "new"), (7, "new")]):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.mode("append").parquet(folder)
+        ingest.stream_ingest(spark, folder, "doc_id long, text string", out, f"{tmp_path}/cp").awaitTermination(120)
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/documents").collect()) == [2, 3, 5]
 
 
 def test_no_python_in_plans(spark):
