@@ -226,6 +226,13 @@ def get(where: str) -> bytes:
         return f.read()
 
 
+def qualified(spark, folder: str) -> str:
+    """A folder with its file system's scheme, which is the session's default where it names none, as for Spark's own tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab: int, folder: str | None = None, shard_chars: int = 2**28) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write shards in ascending order of doc_id.
 
@@ -238,7 +245,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab:
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    folder = folder if "://" in folder else "file://" + (folder[5:] if folder.startswith("file:") else folder)
+    folder = qualified(spark, folder)
     id_bytes = 2 if vocab <= 65_536 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
