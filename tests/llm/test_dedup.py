@@ -218,9 +218,7 @@ def test_lines_against_brute_force(spark):
     assert lines.dedupe(data.docs(spark, extra=True).withColumn("line", F.lit(1)).withColumn("root", F.lit(1))).count() == len(data.rows())
 
 
-@pytest.mark.parametrize("few", [32, 2])
-def test_every_near_line_is_linked(spark, monkeypatch, few):
-    monkeypatch.setattr(lines, "FEW", few)
+def test_every_near_line_is_linked(spark):
     r = random.Random(12)
     rows = []
     for size in [*range(1, 28), 40, 75, 120] * 2:
@@ -235,9 +233,10 @@ def test_every_near_line_is_linked(spark, monkeypatch, few):
     hot = [f"h{k}" for k in range(12)]  # a bucket of many lines: a few near each other, most not
     rows += [hot[:5] + [f"o{r.randrange(10**6)}" for _ in range(7)] for _ in range(60)]
     rows += [[*hot[:k], f"c{j}", *hot[k + 1 :]] for k in range(12) for j in range(5)]
-    rows += [["a"] * k + [f"b{j}"] for k in range(3, 12) for j in range(4)] + [["t", "a"] * 6 + [f"e{j}"] for j in range(40)]  # few distinct words
+    rows += [[f"a{k}"] * k + [f"b{j}"] for k in range(3, 12) for j in range(4)] + [["t", "u"] * 6 + [f"e{j}"] for j in range(40)]  # words that come again
     rows = sorted({tuple(w) for w in rows})
-    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "line long, text string")
+    codes = [lines.coded([x.encode() for x in w]) for w in rows]
+    df = spark.createDataFrame([(k, len(w), bytearray(a.tobytes()), bytearray(b.tobytes())) for k, (w, (a, b)) in enumerate(zip(rows, codes))], "line long, size int, a binary, b binary")
     got = lines.links(df, 0.8).collect()
     sizes = [len(w) for w in rows]
     close = lambda a, b: abs(sizes[a] - sizes[b]) <= (m := int(0.2 * max(sizes[a], sizes[b]) + 1e-9)) and edit(rows[a], rows[b]) <= m
