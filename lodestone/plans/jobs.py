@@ -143,7 +143,7 @@ def research_runs(spark: SparkSession, d: str) -> DataFrame:
     found = searches.join(roots, "n").select(F.col("text").alias("search"), F.col("k").cast("long").alias("pos"), F.col("root_url").alias("url"), "title", none.alias("product"), none.alias("domain"), F.expr(f"{DEALT}[pmod(n, 3)]").alias("tier"), F.array(F.lit("api")).alias("topics"), F.array(F.lit("guide")).alias("keywords"), F.lit("found").alias("reason"), F.lit("search").alias("source"), F.lit(None).cast("timestamp").alias("published_at"))
     memories = roots.where("n % 4 = 0").selectExpr("CAST(n AS STRING) AS id", "concat('p', pmod(n, 5)) AS project_id", "if(n % 8 = 0, 'source_failure', 'source_quality') AS kind", "title AS text", "array(title) AS entities", "array(root_url) AS source_urls", "0.8D AS confidence", "n % 16 = 0 AS domain_blocked", f"timestamp'{NOW}' - make_dt_interval(CAST(n % 300 AS INT)) AS created_at")
     stored = spark.createDataFrame([], "project_id string, content_hash string")
-    found = research.research(q, source_registry(spark), found, got, memories, stored, stored, F.lit(NOW).cast("timestamp"))
+    found = research.research(q, source_registry(spark).where("pos < 2"), found, got, memories, stored, stored, F.lit(NOW).cast("timestamp"))
     out = research.response_contract(found)
     return out.select(F.col("run_id").alias("item_id"), "status", F.col("debug.search.subqueries").alias("subqueries"), F.size("ui.resources").cast("long").alias("resources"), F.col("ui.crawlTrace.accepted").alias("pages"), F.col("ui.evidenceCoverage.kept_claims").cast("long").alias("claims"), F.col("ui.answerMode").alias("mode"), F.col("ui.groundingStatus").alias("grounding"), F.size("ui.citations").cast("long").alias("citations"), F.array_join("ui.warnings", "; ").alias("warnings"))
 
