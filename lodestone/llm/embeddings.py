@@ -2,7 +2,8 @@
 
 A rotation is learned on a bounded sample so that the signs of the rotated unit vectors are balanced binary codes. Tables
 are keyed by substrings of the code; how long and how many follows from the number of vectors and the recall asked for.
-Vectors that share a table's bucket are compared by cosine in double precision. A pair that several tables hold counts in
+Tables hold codes only: of a bucket's members those come with their vectors whose whole code is near another's, and these are
+compared by cosine in double precision. A pair that several tables hold counts in
 the first of them. Equal vectors are one vector with a count before they are dealt, so copies cost no comparison. A bucket
 yields each member's number of links and a spanning forest, never pairs; buckets over ``BLOCK`` members are divided into
 blocks, and each pair of blocks is a group of its own.
@@ -84,6 +85,33 @@ def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
     return best[1:]
 
 
+def radius(bits: int, threshold: float, lost: float = 1e-4) -> int:
+    """The number of bits in which all but ``lost`` of the pairs at the threshold differ at most."""
+    p, left = math.acos(threshold) / math.pi, 1.0
+    for k in range(bits + 1):
+        left -= math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if left <= lost:
+            return k
+    return bits
+
+
+def worth(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The members of a bucket, or pair of blocks of one, whose code is within ``most`` bits of another member's: their vectors are needed."""
+    keys = ["t", "key", "i", "j"]
+    for table in iter_runs(batches, keys):
+        starts = run_starts(table, keys)
+        code, block, i_, j_ = (table.column(k).to_numpy() for k in ("code", "block", "i", "j"))
+        code, keep = code.view(np.uint64), np.zeros(table.num_rows, bool)
+        for a, b in zip(starts.tolist(), np.r_[starts[1:], table.num_rows].tolist()):
+            for k in range(a, b, 256) if b - a > 1 else ():  # some rows of the matrix at a time
+                near = np.bitwise_count(code[k : min(k + 256, b), None] ^ code[None, a:b]) <= most
+                near[np.arange(len(near)), np.arange(k - a, k - a + len(near))] = False
+                if i_[a] != j_[a]:
+                    near &= block[k : min(k + 256, b), None] != block[None, a:b]
+                keep[k : k + len(near)] = near.any(axis=1)
+        yield from table.filter(pa.array(keep)).to_batches()
+
+
 def search(batches: Iterator[pa.RecordBatch], masks: list[int], threshold: float, kind: type) -> Iterator[pa.RecordBatch]:
     """For each bucket, or pair of blocks of one: how many links count here, by row, and edges that connect them."""
     keys, marks = ["t", "key", "i", "j"], np.array(masks, np.uint64)
@@ -188,12 +216,15 @@ def of_length(valid: DataFrame, d: int, n: int, threshold: float, recall: float,
     coded = written(valid.select("row", "copies", "embedding").mapInArrow(codes, "row long, copies long, code long, vec binary"))
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     keyed = [F.struct(F.lit(k).alias("t"), F.col("code").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)]
-    members = coded.withColumn("x", F.explode(F.array(*keyed))).select("x.t", "x.key", "row", "copies", "code", "vec")
+    members = coded.withColumn("x", F.explode(F.array(*keyed))).select("x.t", "x.key", "row", "copies", "code")
     large = written(members.groupBy("t", "key").count().where(F.col("count") > BLOCK).select("t", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     dealt = members.join(large, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "row", "copies", "code", "vec")
+    dealt = dealt.select("t", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "row", "copies", "code")
+    near = radius(bits, threshold)
     groups = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
+    found = written(groups.mapInArrow(lambda b: worth(b, near), "t int, key long, i int, j int, block int, row long, copies long, code long"))
+    groups = found.join(coded.select("row", "vec"), "row").repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
     return written(groups.mapInArrow(lambda b: search(b, masks, threshold, kind), "u long, v long, n long"))
 
 

@@ -272,3 +272,28 @@ def test_embedding_tables_reach_the_recall(n):
     met = ((code[0] ^ code[1])[:, None] & masks == 0).any(axis=1)
     assert met.mean() >= 0.992
     assert embeddings.plan(n, 2, 0.95, 0.995) == (0, 1) and embeddings.substrings(2, 0, 1) == [0]
+
+
+def test_vectors_follow_near_codes_only(spark):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(2000, 64))
+    pairs = x[:40] + g.normal(size=(40, 64)) * 0.1
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, pairs]))]
+    moved = []
+    real = embeddings.written
+
+    def counted(df):
+        out = real(df)
+        if set(out.columns) >= {"t", "block", "code"}:
+            moved.append(out.count())
+        return out
+
+    embeddings.written = counted
+    try:
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    finally:
+        embeddings.written = real
+    assert sum(r.n_links for r in got) == 80 and sum(not r.kept for r in got) == 40
+    length, tables = embeddings.plan(2040, 64, 0.95, 0.995)
+    assert moved and moved[0] < 0.1 * 2040 * tables
+    assert embeddings.radius(64, 0.95) < 20 and embeddings.radius(1, 0.95) <= 1
