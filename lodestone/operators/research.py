@@ -105,7 +105,7 @@ def research(
         runs = runs.join(part, "run_id", "left")
     numbers = [f.name for f in runs.schema.fields if f.name not in ("run_id", "query", "normalized_query")]
     runs = runs.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in numbers})
-    runs = runs.join(packs.select(F.col("pack_id").alias("run_id"), "raw_claims", "kept_claims", "quality_rejected", "duplicate_rejected", "supported", "missing"), "run_id")
+    runs = runs.join(packs.select(F.col("pack_id").alias("run_id"), "raw_claims", "kept_claims", "quality_rejected", "duplicate_rejected", "supported", "weak", "unsupported", "missing"), "run_id")
     runs = runs.join(written.select(F.col("pack_id").alias("run_id"), F.col("status").alias("answer"), "mode", "confidence", F.size("citations").alias("citations"), "grounding", F.size("issues").alias("issues")), "run_id")
     runs = runs.withColumn("status", research_status(F.col("documents"), F.col("failed"), F.col("answer") == "answered")).withColumn("warnings", response_warnings())
     return {"resources": resources, "pages": pages, "attempts": attempts, "trace": trace, "documents": documents, "chunks": new_chunks, "claims": claims, "packs": packs, "answers": written, "drafts": drafts, "failures": failures, "runs": runs}

@@ -10,8 +10,10 @@ from lodestone.functions.text import hash_text, preview, trim_all
 from lodestone.operators.evidence import chunk_text
 
 
-def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def scan(spark: SparkSession, folder: str, name: str, project: str | None = None) -> DataFrame:
+    """A table; of one project only, where it is named: the filter reaches the scan."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return table if project is None else table.where(F.col("project_id") == project)
 
 
 def ingest_text_files(spark: SparkSession, path: str, project: str) -> DataFrame:
@@ -90,9 +92,16 @@ def normalize_search_results(raw: DataFrame) -> DataFrame:
     return out.where("url is not null").withColumn("title", F.coalesce("title", host)).withColumn("tier", F.when(F.col("provider") == "github", "reference_examples"))
 
 
-def route_budgets(spark: SparkSession) -> DataFrame:
-    """``route, provider, max_results, enabled``."""
-    return spark.createDataFrame([(r, p, *x) for r, of in K.ROUTE_BUDGETS.items() for p, x in of.items()], "route string, provider string, max_results int, enabled boolean")
+def route_budgets(spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
+    """``route, provider, max_results, enabled``; ``overrides``, of the same columns, replace what they are not null in, for all routes where theirs is null."""
+    base = spark.createDataFrame([(r, p, *x) for r, of in K.ROUTE_BUDGETS.items() for p, x in of.items()], "route string, provider string, max_results int, enabled boolean")
+    if overrides is None:
+        return base
+    o = overrides.select(F.col("route").alias("r"), F.col("provider").alias("p"), F.col("max_results").alias("most"), F.col("enabled").alias("on"))
+    own = base.join(F.broadcast(o), (F.col("provider") == F.col("p")) & (F.col("r").isNull() | (F.col("route") == F.col("r"))), "left")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("r").isNotNull()))  # noqa: E731  a route's own override before that of all
+    g = own.groupBy("route", "provider", "max_results", "enabled").agg(last("most").alias("most"), last("on").alias("on"))
+    return g.select("route", "provider", F.coalesce("most", "max_results").alias("max_results"), F.coalesce("on", "enabled").alias("enabled"))
 
 
 def source_registry(spark: SparkSession) -> DataFrame:

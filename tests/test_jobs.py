@@ -4,7 +4,8 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.functions import checks, model_json
-from lodestone.operators import jobs
+from lodestone.operators import jobs, runs
+from lodestone.sources import tables
 
 V = "research-response-v1"
 
@@ -97,3 +98,30 @@ def test_lists_in_pages(spark, tmp_path):
     plan = jobs.newest_page(df, "t", "id", 7, after)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "LessThanOrEqual(t" in plan
     assert [r.id for r in jobs.newest_page(df, "t", "id", 3, oldest_first=True).collect()] == [0, 1, 2]
+
+
+def test_benchmark_summary(spark):
+    got = spark.createDataFrame([("q1", "ok", "general", "pass", 0, 2, 3, 1, 0, 0, 0, 0, 9, 6, 2, 1, 5, 1, 0, 4, ["w"]), ("q2", "partial", "how_to", "fail", 2, 0, 0, 0, 1, 0, 0, 0, 1, 1, 0, 0, 0, 1, 0, 2, [])],
+        "run_id string, status string, mode string, grounding string, issues int, citations int, accepted int, skipped int, retries int, rejected_by_quality int, duplicate_url int, duplicate_content int, raw_claims int, kept_claims int, quality_rejected int, duplicate_rejected int, supported int, weak int, unsupported int, resources int, warnings array<string>")
+    suite = spark.createDataFrame([("q1", "a", 1, 5, 1), ("q2", "b", 1, 5, 1), ("q3", "b", None, None, None)], "id string, category string, minAcceptedPages int, minFilteredClaims int, minCitations int")
+    rows = runs.benchmark_rows(got.withColumn("routes", F.array(F.lit("docs"), F.lit("code"))), suite)
+    assert rows.columns == list(runs.SUMMARY) and len(rows.columns) == 27
+    r = {x.id: x for x in rows.collect()}
+    assert r["q1"].passed and r["q1"].failures == "" and r["q1"].warningsLength == 1 and r["q1"].routeKinds == "docs|code" and r["q1"].durationMs is None
+    assert r["q2"].failures == "grounding_not_pass:fail; grounding_issues:2; low_citations:0; low_accepted_pages:0; low_filtered_claims:1" and r["q3"].failures == "request_error:no response"
+    text = runs.benchmark_markdown(rows, "s", "f", "api", "p").first().markdown.split("\n")
+    assert text[6:8] == ["- Passed: 1/3", "- Failed: 2/3"] and "| q1 | ✅ | pass | 6 | 2 | 3 | 0 |  |" in text and text[-1] == "- **q3**: request_error:no response"
+
+
+def test_job_views_and_budgets(spark):
+    js = spark.createDataFrame([(1, "q"), (2, "r")], "job_id int, question string")
+    reports = spark.createDataFrame([(1, k, f"r{k}") for k in range(5)], "job_id int, pos int, content string")
+    rs = spark.createDataFrame([(1, "a", 0, "done"), (1, "b", 1, "failed")], "job_id int, run string, pos int, status string")
+    steps = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one")], "run string, step int, stdout string")
+    got = {r.job_id: r for r in runs.nested_job_views(js, reports, rs, steps, 3).collect()}
+    assert got[1].reports == ["r4", "r3", "r2"] and [(x.run, [s.stdout for s in x.steps]) for x in got[1].runs] == [("b", []), ("a", ["one", "two"])] and got[2].reports == [] and got[2].runs == []
+    plain = {(r.route, r.provider): (r.max_results, r.enabled) for r in tables.route_budgets(spark).collect()}
+    over = spark.createDataFrame([(None, "tavily", 99, None), ("docs", "tavily", 7, None), (None, "github", None, False)], "route string, provider string, max_results int, enabled boolean")
+    own = {(r.route, r.provider): (r.max_results, r.enabled) for r in tables.route_budgets(spark, over).collect()}
+    assert own.keys() == plain.keys() and own["docs", "tavily"][0] == 7 and all(v[0] == 99 for (r, p), v in own.items() if p == "tavily" and r != "docs") and not any(v[1] for (_, p), v in own.items() if p == "github")
+    assert all(own[k] == v for k, v in plain.items() if k[1] not in ("tavily", "github"))
