@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lodestone import constants as K
 from lodestone.functions import model_json
 from lodestone.functions import query as Q
-from lodestone.operators import crawl, evidence, jobs, research, search
+from lodestone.operators import crawl, evidence, jobs, memory, research, runs, search
 from lodestone.plans.queries import _CLAIMS, _STATUS, _USE, DEALT, DEALT_SQL, rx, verified
 from lodestone.plans.research import NOW
-from lodestone.sources.tables import scan, source_registry
+from lodestone.sources.tables import scan, source_registry, upsert_vectors
 
 VERSION = jobs.VERSION
 
@@ -148,13 +148,49 @@ def research_runs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("run_id").alias("item_id"), "status", F.col("debug.search.subqueries").alias("subqueries"), F.size("ui.resources").cast("long").alias("resources"), F.col("ui.crawlTrace.accepted").alias("pages"), F.col("ui.evidenceCoverage.kept_claims").cast("long").alias("claims"), F.col("ui.answerMode").alias("mode"), F.col("ui.groundingStatus").alias("grounding"), F.size("ui.citations").cast("long").alias("citations"), F.array_join("ui.warnings", "; ").alias("warnings"))
 
 
+def jobs_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as jobs: the assistant's turns are reports, the user's are runs, whose lines are steps."""
+    t = scan(spark, d, "conversations").withColumn("job_id", F.col("conv_id")).withColumn("run", F.concat_ws("/", "conv_id", "turn"))
+    asked = t.where("role = 'user'")
+    steps = asked.select("run", F.posexplode(F.split("text", "\n")).alias("step", "stdout"))
+    got = runs.nested_job_views(t.select("job_id").distinct(), t.where("role != 'user'").select("job_id", F.col("turn").alias("pos"), F.col("text").alias("content")), asked.select("job_id", "run", F.col("turn").alias("pos"), F.col("role").alias("status")), steps, 2)
+    printed = F.transform("runs", lambda r: F.concat(r.run, F.lit("="), F.array_join(F.transform(r.steps, lambda s: s.stdout), "|")))
+    return got.select("job_id", F.md5(F.array_join("reports", "#")).alias("reports_md5"), F.size("runs").cast("long").alias("runs"), F.md5(F.array_join(printed, "#")).alias("runs_md5"))
+
+
+def vectors_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as a store, every third in a newer version and every fifth in an older one: which version stays, by label."""
+    v = scan(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("payload"), F.lit(1).alias("version"))
+    newer, older = v.where("id % 3 = 0").withColumn("version", F.lit(2)), v.where("id % 5 = 0").withColumn("version", F.lit(0)).withColumn("payload", F.lit(-1))
+    got = upsert_vectors(v, newer.unionAll(older))
+    return got.groupBy("payload", "version").agg(F.count("*").alias("points"), F.sum("id").alias("ids"))
+
+
+def failures_remembered(spark: SparkSession, d: str) -> DataFrame:
+    """What a run remembers of documents that couldn't be fetched: toxic ones are refused, short ones time out."""
+    t = scan(spark, d, "documents").join(scan(spark, d, "labels"), "doc_id").where("toxic = 1 or n_chars < 200")
+    reason = F.when(F.col("toxic") == 1, "HTTP 403 Forbidden").otherwise("timeout")
+    got = memory.failure_memories(t.select(F.col("source").alias("query_id"), F.concat(F.lit("https://x.org/"), "doc_id").alias("url"), F.coalesce("lang", F.lit("?")).alias("query"), reason.alias("reason")))
+    return got.groupBy("confidence", "domain_blocked", "kind", "scope").agg(F.count("*").alias("memories"), F.md5(F.array_join(F.array_sort(F.collect_list("text")), "|")).alias("texts_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (contracts_found, labels_parsed, strategies_rendered, job_results, sources_extracted, reports_written, newest_events, ranked_undated, gaps_of_sources, crawled_resources, research_runs)
+    f.__name__: f for f in (contracts_found, labels_parsed, strategies_rendered, job_results, sources_extracted, reports_written, newest_events, ranked_undated, gaps_of_sources, crawled_resources, research_runs, jobs_nested, vectors_upserted, failures_remembered)
 }
 
 _POINTS = ", ".join(f"('{use}', '{t}', {n})" for t, ns in K.TIER_USE_CASE.items() for use, n in zip(K.USE_CASES, ns))
 
 ORACLES: dict[str, str] = {
+    "jobs_nested": """
+WITH t AS (SELECT *, conv_id || '/' || turn AS run FROM conversations),
+r AS (SELECT conv_id, string_agg(text, '#' ORDER BY turn DESC) AS x FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM t WHERE role <> 'user') WHERE n <= 2 GROUP BY conv_id),
+u AS (SELECT conv_id, count(*) AS n, string_agg(run || '=' || replace(text, chr(10), '|'), '#' ORDER BY turn DESC) AS x FROM t WHERE role = 'user' GROUP BY conv_id)
+SELECT j.conv_id AS job_id, md5(coalesce(r.x, '')) AS reports_md5, coalesce(u.n, 0) AS runs, md5(coalesce(u.x, '')) AS runs_md5 FROM (SELECT DISTINCT conv_id FROM t) j LEFT JOIN r USING (conv_id) LEFT JOIN u USING (conv_id)""",
+    "vectors_upserted": "SELECT label AS payload, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version, count(*) AS points, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY 1, 2",
+    "failures_remembered": """
+WITH t AS (SELECT *, toxic = 1 AS b, 'Source "https://x.org/' || doc_id || '" failed during crawl for query "' || coalesce(lang, '?') || '" because: ' || CASE WHEN toxic = 1 THEN 'HTTP 403 Forbidden' ELSE 'timeout' END AS x
+  FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 OR n_chars < 200)
+SELECT CASE WHEN b THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence, b AS domain_blocked, 'source_failure' AS kind, 'source' AS scope, count(*) AS memories, md5(string_agg(x, '|' ORDER BY x)) AS texts_md5 FROM t GROUP BY b""",
     "contracts_found": """
 WITH t AS (SELECT *, (length(text) + turn) % 4 AS shape FROM conversations WHERE (length(text) + turn) % 4 <> 3)
 SELECT conv_id, md5(arg_min(text, turn)) AS answer_md5, arg_min(role, turn) AS role FROM t GROUP BY conv_id""",
