@@ -54,7 +54,7 @@ def test_research_from_question_to_answer(spark):
 def test_answers_cite_sources_without_urls(spark):
     rows = [("p", u, t, "official_docs", f"The {t} API supports tokens number {k} for every client.", "q" * 30, "S", 0.9, ["API"], "supported", k) for k, (u, t) in enumerate([("", "One"), ("", "Two"), (None, "Three"), ("https://x.org", "Four"), ("", "One")])]
     claims = spark.createDataFrame(rows, "pack_id string, url string, title string, tier string, claim string, quote string, section string, confidence double, entities array<string>, status string, claim_pos int")
-    q = spark.createDataFrame([("p", "what is it", None)], "pack_id string, query string, use_case string")
+    q = spark.createDataFrame([("p", "plain question", None)], "pack_id string, query string, use_case string")
     got = answers.synthesize_answers(q, claims).first()
     assert got.supported == 5 and len(got.citations) == 4
     printed = [x for x in got.markdown.split("## Evidence notes")[0].split("\n") if re.match(r"\d+\. ", x)]
