@@ -190,7 +190,7 @@ def load(path: str):
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space and lower-cases: each distinct word is encoded once."""
 
-    def __init__(self, path: str, id_bytes: int, limit: int = 800_000):
+    def __init__(self, path: str, id_bytes: int, limit: int = 400_000):
         self.kind = np.dtype("<u2" if id_bytes == 2 else "<u4")
         self.words = Words(load(path), self.kind, "", True, limit)
 
