@@ -172,16 +172,22 @@ def dedupe_pages(pages: DataFrame, checkpoint=None) -> DataFrame:
 def near_pairs(good: DataFrame, threshold: float) -> DataFrame:
     """``u, v``: ids of ``good(pack_id, id, at, w)`` of one pack, u first in order of ``at``, with a Jaccard similarity of words over ``threshold``.
 
-    Such sets share a word among the rarest of each, one more than they may lack (prefix filter), so these words are where they meet.
+    Such sets share a word among the rarest of each, one more than they may lack (prefix filter), so these words are where they meet: ids with
+    their order and size. The words themselves follow only for pairs that met and may be near by size.
     """
     words = good.select("pack_id", "id", F.explode("w").alias("x"))
     rare = words.join(words.groupBy("pack_id", "x").agg(F.count("*").alias("n")), ["pack_id", "x"])
-    rare = rare.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
+    rare = rare.groupBy("pack_id", "id").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("r"))
     first = F.expr(f"slice(r, 1, size(r) - CAST(ceil(size(r) * {threshold}D - 1e-9D) AS INT) + 1)")
-    met = good.join(rare.select("id", F.explode(first).alias("k")), "id").select("pack_id", "id", "at", "w", F.col("k.x").alias("x"))
+    met = rare.select("pack_id", "id", F.size("r").alias("size"), F.explode(first).alias("k")).select("pack_id", "id", "size", F.col("k.x").alias("x"))
     a, b = met.alias("a"), met.alias("b")
-    on = (F.col("a.pack_id") == F.col("b.pack_id")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.at") < F.col("b.at")) & (jaccard(F.col("a.w"), F.col("b.w")) > threshold)
-    return a.join(b, on).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    near = F.least("a.size", "b.size") > F.greatest("a.size", "b.size") * F.lit(threshold)
+    on = (F.col("a.pack_id") == F.col("b.pack_id")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")) & near
+    pairs = a.join(b, on).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    x, y = (good.select(F.col("id").alias(k), F.col("at").alias(f"{k}_at"), F.col("w").alias(f"{k}_w")) for k in "uv")
+    both = pairs.join(x, "u").join(y, "v").where(jaccard(F.col("u_w"), F.col("v_w")) > threshold)
+    ahead = F.col("u_at") < F.col("v_at")
+    return both.select(F.when(ahead, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(ahead, F.col("v")).otherwise(F.col("u")).alias("v"))
 
 
 def near_dedupe_claims(claims: DataFrame, threshold: float = 0.7) -> DataFrame:
