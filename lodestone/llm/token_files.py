@@ -190,7 +190,7 @@ def load(path: str):
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space and lower-cases: each distinct word is encoded once."""
 
-    def __init__(self, path: str, id_bytes: int, limit: int = 400_000):
+    def __init__(self, path: str, id_bytes: int, limit: int = 800_000):
         self.kind = np.dtype("<u2" if id_bytes == 2 else "<u4")
         self.words = Words(load(path), self.kind, "", True, limit)
 
@@ -262,9 +262,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab:
                 got = batch.column(0)
                 n_null += got.null_count
                 keys.append(got.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-                for x in map(enc.encode, batch.column(1).to_pylist()):
-                    lens.append(len(x) // id_bytes + 1)
-                    yield x + end
+                for k in range(0, batch.num_rows, 256):  # few texts at a time
+                    for x in map(enc.encode, batch.column(1).slice(k, 256).to_pylist()):
+                        lens.append(len(x) // id_bytes + 1)
+                        yield x + end
 
         path = f"{folder}/shard-{shard:06d}"
         rows = payload()
