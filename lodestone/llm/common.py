@@ -20,6 +20,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+#: Scratch folders that this session has named.
+SCRATCH: list[str] = []
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this session's operators have written, and count them.
+
+    For use once results are written elsewhere: tables that operators have returned, and token files that were given no folder, read from there.
+    """
+    n = 0
+    while SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop() + "*")  # and what its users have named after it
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        n += sum(store.delete(found.getPath(), True) for found in store.globStatus(path) or [])
+    return n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, the folder that driver and executors share.
 
@@ -35,7 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = jsc.getCheckpointDir().get()
-    return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
 
 
 def written(df: DataFrame) -> DataFrame:

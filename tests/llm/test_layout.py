@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality, sharding
+from lodestone.llm import common, mixing, quality, sharding
 from lodestone.llm.queries import ORACLES
 
 from . import data
@@ -90,3 +90,13 @@ def test_quality_sql(spark):
     want = c.execute(ORACLES["op9_quality"]).df()
     show = lambda d: sorted(map(str, d.astype(str).values.tolist()))
     assert show(got) == show(want[list(got.columns)])
+
+
+def test_scratch_is_discarded(spark):
+    common.discard_scratch(spark)
+    made = common.written(spark.range(5))
+    spark.range(3).write.parquet(f"{common.SCRATCH[-1]}-named")
+    assert made.count() == 5 and spark.read.parquet(f"{common.SCRATCH[-1]}-named").count() == 3
+    where = spark._jvm.org.apache.hadoop.fs.Path(common.SCRATCH[-1])
+    assert common.discard_scratch(spark) == 2 and common.SCRATCH == []
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) and common.discard_scratch(spark) == 0
