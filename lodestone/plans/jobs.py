@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as K
 from lodestone.functions import model_json
-from lodestone.functions import query as Q
 from lodestone.operators import crawl, evidence, jobs, memory, research, runs, search
 from lodestone.plans.queries import _CLAIMS, _STATUS, _USE, DEALT, DEALT_SQL, rx, verified
 from lodestone.plans.research import NOW
