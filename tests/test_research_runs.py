@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, evidence, research
+from lodestone.operators import answers, evidence, research, search
 
 NOW = "2024-06-01 00:00:00"
 CANDIDATE = "pos long, url string, title string, product string, domain string, tier string, topics array<string>, keywords array<string>, reason string, source string, published_at timestamp"
@@ -70,3 +70,37 @@ def test_evidence_gaps(spark):
     cover = spark.createDataFrame([("b", 3, 2, 0, 0), ("c", 3, 2, 0, 1)], "pack_id string, raw_claims long, kept_claims long, official_sources long, supported long")
     got = {r.pack_id: (r.raw_claims, len(r.missing)) for r in evidence.evidence_gaps(packs, cover).collect()}
     assert got == {"a": (0, 2), "b": (3, 2), "c": (3, 0)}
+
+
+def test_simple_research(spark):
+    q, registry, _, _, _, none, _, now = tables(spark, [("a", "p", "Compare Example API and Sample API authentication")])
+    found = spark.createDataFrame([("a", 100 + k, f"https://s{k}.org/x", f"Found {k}", None, None, "reference_examples", ["zzz"], ["zzz"], "r", "search", None) for k in range(3)], "query_id string, " + CANDIDATE)
+    quiet = "Zapf zipf zopf zupf zepf " * 40 + "."
+    scraped = spark.createDataFrame([("https://docs.example.com/auth", "https://docs.example.com/auth", "Auth", EXAMPLE * 2), ("https://s0.org/x", "https://s0.org/x", "", quiet), ("https://s1.org/x", "https://s1.org/x", "T", "short")], "source_url string, url string, title string, markdown string")
+    got = research.simple_research(q, registry, found, scraped, none, none, now)
+    assert {(r.url, r.reason) for r in got["failures"].collect()} == {("https://docs.sample.com/auth", "Page could not be scraped."), ("https://s1.org/x", "Scraped markdown was too short."), ("https://s2.org/x", "Page could not be scraped.")}
+    assert {r.strategy for r in got["resources"].collect()} == {"mixed"} and {r.status for r in got["documents"].collect()} == {"new"} and got["documents"].count() == 2
+    claims = {(r.url, r.claim) for r in got["claims"].collect()}
+    assert ("https://s0.org/x", 'Source "Found 0" contains potentially relevant information for the query.') in claims and len(claims) > 2
+    assert got["packs"].first().raw_claims == len(claims)
+
+
+def test_crawl_and_ingest(spark):
+    pages = spark.createDataFrame([("https://x.org", '<a href="/a">a</a><a href="/b">b</a><a href="/gone">g</a>', "Home", "Start here. " * 100), ("https://x.org/a", "", None, "Page a."), ("https://x.org/b", "", "B", "Page a."), ("https://x.org/c", "", "C", "never seen")], "url string, html string, title string, markdown string")
+    roots = spark.createDataFrame([(1, "https://x.org/", "p"), (2, "https://x.org/a", "p")], "root_id int, url string, project_id string")
+    none = spark.createDataFrame([], "project_id string, content_hash string")
+    visits, chunks = research.crawl_and_ingest(pages, roots, none, none)
+    got = {(r.root_id, r.place): (r.url, r.found, r.status, r.chunks, r.preview and r.preview[:6]) for r in visits.collect()}
+    assert got[1, 1][:4] == ("https://x.org", True, "new", 2) and got[1, 2] == ("https://x.org/a", True, "new", 1, "Page a")
+    assert got[1, 3][:4] == ("https://x.org/b", True, "deduped", 0) and got[1, 4] == ("https://x.org/gone", False, None, 0, None) and got[2, 1][2:4] == ("deduped", 0)
+    assert len(got) == 5 and chunks.count() == 3
+    told = visits.where("root_id = 1").orderBy("place").first().preview
+    assert told.startswith("Start here.") and "truncated" in told
+
+
+def test_fallback_searches(spark):
+    q = spark.createDataFrame([(1, "compare a and b"), (2, "what is it")], "query_id int, query string")
+    got = {}
+    for r in search.fallback_searches(q).orderBy("query_id", "turn").collect():
+        got.setdefault(r.query_id, []).append(r.query)
+    assert got == {1: ["compare a and b official documentation", "compare a and b API reference official docs", "compare a and b permissions rate limits official docs"], 2: ["what is it official docs", "what is it documentation"]}
