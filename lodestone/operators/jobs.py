@@ -122,10 +122,10 @@ def job_answers(jobs: DataFrame, reports: DataFrame, runs: DataFrame, steps: Dat
     return j.select("job_id", F.coalesce(*[x for _, x in options], F.lit("")).alias("answer"), F.coalesce(*[F.when(x.isNotNull(), n) for n, x in options], F.lit("none")).alias("origin"), sources.alias("sources"))
 
 
-def report_rows(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def report_rows(jobs: DataFrame, title: str = "Answer") -> tuple[DataFrame, DataFrame]:
     """Reports and assistant messages of finished ``jobs(job_id, project_id, conversation_id, answer, sources)``; a message only where there is a conversation."""
     metadata = F.to_json(F.struct(F.col("sources").alias("sources")))
-    reports = jobs.select("job_id", "project_id", F.lit("Scout Answer").alias("title"), F.col("answer").alias("content"), metadata.alias("metadata"))
+    reports = jobs.select("job_id", "project_id", F.lit(title).alias("title"), F.col("answer").alias("content"), metadata.alias("metadata"))
     messages = jobs.where("conversation_id is not null").select("job_id", "project_id", "conversation_id", F.lit("assistant").alias("role"), F.col("answer").alias("content"), metadata.alias("metadata"))
     return reports, messages
 

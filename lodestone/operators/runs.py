@@ -90,14 +90,14 @@ def benchmark_rows(runs: DataFrame, suite: DataFrame) -> DataFrame:
     return j.select(*[F.col(v).alias(k) for k, v in SUMMARY.items()])
 
 
-def benchmark_markdown(rows: DataFrame, started: str, finished: str, api: str, project: str) -> DataFrame:
+def benchmark_markdown(rows: DataFrame, started: str, finished: str, api: str, project: str, title: str = "Research Benchmark Summary") -> DataFrame:
     """One row ``markdown``: the aggregate, a table of the questions and the failed cases; a suite has some hundreds of questions."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
     line = F.concat(F.lit("| "), "id", F.lit(" | "), F.when(F.col("passed"), "✅").otherwise("❌"), F.lit(" | "), F.coalesce(F.nullif("groundingStatus", F.lit("")), F.lit("—")), *[F.concat(F.lit(" | "), cell(c)) for c in ("filteredClaimCount", "citationsLength", "acceptedPages", "retryCount")], F.lit(" | "), F.coalesce("failures", F.lit("")), F.lit(" |"))
     bad = F.when(~F.col("passed"), F.concat(F.lit("- **"), "id", F.lit("**: "), "failures"))
     g = rows.agg(F.count("*").alias("n"), F.count_if("passed").alias("ok"), F.array_sort(F.collect_list(F.struct("id", line.alias("line"), bad.alias("bad")))).alias("x"))
     of = lambda a, b: F.concat(F.lit(a), b.cast("string"), F.lit("/"), F.col("n").cast("string"))
-    head = [F.lit(x) for x in ("# Scout Research Benchmark Summary", "", f"- Started: {started}", f"- Finished: {finished}", f"- API: {api}", f"- Project: {project}")]
+    head = [F.lit(x) for x in (f"# {title}", "", f"- Started: {started}", f"- Finished: {finished}", f"- API: {api}", f"- Project: {project}")]
     table = [F.lit(x) for x in ("", "| Query | Pass | Grounding | Claims | Citations | Pages | Retries | Failures |", "| --- | --- | --- | ---: | ---: | ---: | ---: | --- |")]
     failed = F.filter(F.transform("x", lambda r: r.bad), lambda b: b.isNotNull())
     cases = F.when(F.size(failed) > 0, failed).otherwise(F.array(F.lit("No failed cases.")))
