@@ -35,3 +35,10 @@ def test_ratios_are_rounded_like_sql(spark, tmp_path):
     documents(spark, tmp_path, ["aaa " * 15 + "bbb", "aaa " * 39 + "bbb ccc ddd eee ", "aaa " * 7 + "bbb", "aaa " * 8, "\n".join(["https://a.b/c"] * 5 + ["word"] * 3), "\n".join(["https://a.b/c"] * 7 + ["word"])])
     flags = [r[5] for r in equal_to_sql(spark, tmp_path, "page_quality_scores")]
     assert sum("low_unique_word_ratio:0.12" in f for f in flags) == 3 and sum(f.endswith(("0.62", "0.88")) for f in flags) == 2
+
+
+def test_sections_of_odd_documents(spark, tmp_path):
+    odd = [None, "", " ", "\n\n", "\r\n", "# own\nword", "word\n#### own \n# b", "a\r\nb\r", "\x0b", "a\x0b\nb", "\t\n\n x \n", "##### five\n\n\nword one", "# API Reference\n\r\n"]
+    documents(spark, tmp_path, odd * 5)  # each under every heading
+    rows = equal_to_sql(spark, tmp_path, "sections_of_documents")
+    assert {r[0] for r in rows}.isdisjoint(range(0, 5 * len(odd), len(odd)))
