@@ -63,3 +63,14 @@ def test_candidates_of_a_batch_are_those_of_its_queries(spark):
     own, _ = providers.search_candidates(q.drop("batch"), q.select("query_id", "batch").join(r, "batch").drop("batch"), budgets)
     seen = lambda t: sorted(map(repr, t.select("query_id", "place", "url", "title", "provider", "published_at", "keywords", "alternates", "reason").collect()))
     assert seen(shared) == seen(own) and shared.count() > 100
+
+
+def test_traces_count_a_batch_once(spark):
+    q, r = batches(spark)
+    _, trace = providers.search_candidates(q, r, tables.route_budgets(spark))
+    got = {(x.query_id, x.provider): (x.status, x.budget, x.result_count) for x in trace.collect()}
+    assert len(got) == trace.count() == 12 * 3 + 12 * 2
+    assert got["q0", "github"] == ("fulfilled", 10, 10) and got["q1", "tavily"] == ("fulfilled", 8, 8) and got["q2", "tavily"] == ("rejected", 10, 0)
+    # questions meet the trace of their batch and route, none of the results
+    text = trace._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join") < text.index("Aggregate")
