@@ -74,3 +74,13 @@ def test_traces_count_a_batch_once(spark):
     # questions meet the trace of their batch and route, none of the results
     text = trace._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("Join") < text.index("Aggregate")
+
+
+def test_sources_are_merged_before_questions_meet_them(spark, tmp_path):
+    turns = [(k, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for k in range(45) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    urls = ["https://a.org/x", "https://a.org/x/", "https://a.org/x#y", "https://b.org/?q=1", None, "https://c.org"]
+    spark.createDataFrame([(k, urls[k // 20 % 6], "") for k in range(300)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(equal_to_sql(spark, tmp_path, "merged_sources", ("conversations", "pages"))) > 90
+    plan = entry.queries()["merged_sources"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
