@@ -1,11 +1,13 @@
 """Queries against their SQL on small tables of what the driver's rarely or never hold."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions import scores
-from lodestone.operators import providers
+from lodestone.operators import providers, search
 from lodestone.sources import tables
 
 #: What providers give: a row of one of them.
@@ -84,3 +86,27 @@ def test_sources_are_merged_before_questions_meet_them(spark, tmp_path):
     assert len(equal_to_sql(spark, tmp_path, "merged_sources", ("conversations", "pages"))) > 90
     plan = entry.queries()["merged_sources"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_words_are_found_where_texts_are_read(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["alpha", "beta", "al", "rate limits", "limits", "x.org", "zeta", "omega rare", "Ünïcode", "a+b"]
+    docs = [(k, None if k % 17 == 0 else " ".join(r.choices(words[: 6 if k % 40 else 10], k=5)), r.choice(["Alpha", "T limits", None]), r.choice([None, "https://x.org"]), 1000 - k) for k in range(400)]
+    asked = [(q, r.sample(["ALPHA", "al", "mega", "eta", "limits", "x.o", "rare", "none", "ünï", "", "a+b"], 3), r.sample(["rate limits", "a r", ""], 2)) for q in range(30)]
+    want = []
+    for q, tokens, phrases in asked:
+        found = []
+        for chunk, *fields, pos in docs:
+            t, h, u = [(f or "").lower() for f in fields]
+            points = lambda x, a, b, c: a * (x in h) + b * (x in u) + c * (x in t)
+            if any(x and x.lower() in f for x in tokens for f in (t, h, u)):
+                found.append((pos, sum(points(x.lower(), 8, 4, 2) for x in tokens if x) + sum(points(x, 25, 10, 8) for x in phrases if x), chunk))
+        best = sorted(sorted(found, reverse=True)[:20], key=lambda x: (-x[1], -x[0]))[:6]
+        want += [(q, n + 1, chunk, score) for n, (_, score, chunk) in enumerate(best)]
+    q = spark.createDataFrame(asked, "query_id int, tokens array<string>, phrases array<string>")
+    c = spark.createDataFrame(docs, "chunk_id long, text string, title string, url string, pos long")
+    for newest in (50, 1000):  # many queries need older chunks, and none
+        monkeypatch.setattr(search, "NEWEST", newest)
+        found = search.keyword_search(q, c, 6, 20)
+        assert sorted(map(tuple, found.collect())) == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row a word
