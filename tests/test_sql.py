@@ -110,3 +110,15 @@ def test_words_are_found_where_texts_are_read(spark, monkeypatch):
         found = search.keyword_search(q, c, 6, 20)
         assert sorted(map(tuple, found.collect())) == want
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row a word
+
+
+def test_only_questions_without_near_vectors_are_searched_by_words(spark, monkeypatch):
+    q = spark.createDataFrame([(1, ["beta"], [1.0, 0.0]), (2, ["beta"], None), (3, ["beta"], [0.0, -1.0])], "query_id int, tokens array<string>, query_vec array<double>")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (9, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    c = spark.createDataFrame([(k, "alpha beta", f"T{k}", None, k) for k in range(4)], "chunk_id long, text string, title string, url string, pos long")
+    asked = []
+    whole = search.keyword_search
+    monkeypatch.setattr(search, "keyword_search", lambda q, *a: asked.extend(r.query_id for r in q.collect()) or whole(q, *a))
+    got = search.search_kb(q, v, c, 1)
+    assert sorted(asked) == [2, 3]
+    assert [(r.query_id, r.chunk_id, r.retrieval) for r in got.orderBy("query_id").collect()] == [(1, 1, "semantic"), (2, 3, "keyword_fallback"), (3, 3, "keyword_fallback")]
