@@ -122,3 +122,27 @@ def test_only_questions_without_near_vectors_are_searched_by_words(spark, monkey
     got = search.search_kb(q, v, c, 1)
     assert sorted(asked) == [2, 3]
     assert [(r.query_id, r.chunk_id, r.retrieval) for r in got.orderBy("query_id").collect()] == [(1, 1, "semantic"), (2, 3, "keyword_fallback"), (3, 3, "keyword_fallback")]
+
+
+def test_nearest_vectors_by_a_bound(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(k, [float(r.randrange(-3, 4)) for _ in range(6)]) for k in range(300)]
+    rows += [(300, [0.0] * 6), (301, [1.0, None, 1.0, 0.0, 0.0, 0.0]), (302, [1.0, 2.0]), (303, None), (304, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 30 = 0 or vec_id > 299").selectExpr("vec_id AS query_id", "embedding AS query_vec")
+    monkeypatch.setattr(search, "FIRST", 40)
+    near = search.semantic_search(q, v, 5)
+    assert "least" in near._jdf.queryExecution().optimizedPlan().toString()  # few pairs are sorted
+    got = sorted((x.query_id, x.place, x.vec_id, x.score) for x in near.collect())
+    monkeypatch.setattr(search, "UNROLLED", 0)
+    assert sorted((x.query_id, x.place, x.vec_id, x.score) for x in search.semantic_search(q, v, 5).collect()) == got
+    vectors = dict(rows)
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return None
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
+
+    for k in {x[0] for x in got}:
+        best = sorted(((c := cosine(vectors[k], b)) is None, -(c or 0), i) for i, b in rows)[:5]
+        assert [x[2] for x in got if x[0] == k] == [i for _, _, i in best]
